@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from loomgraph.llm import decontaminate
+from loomgraph.llm.decontaminate import op3_decontamination
 from loomgraph.llm.packing import op7_packing
 from loomgraph.llm.token_store import op5_token_store
 
 QUERIES = {
+    "op3_decontamination": op3_decontamination,
     "op5_token_store": op5_token_store,
     "op7_packing": op7_packing,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_decontamination": decontaminate.ORACLE_SQL,
+}
