@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from loomgraph.llm import decontaminate
 from loomgraph.llm.decontaminate import op3_decontamination
+from loomgraph.llm.fingerprint import op4_fingerprint
 from loomgraph.llm.packing import op7_packing
 from loomgraph.llm.token_store import op5_token_store
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
+    "op4_fingerprint": op4_fingerprint,
     "op5_token_store": op5_token_store,
     "op7_packing": op7_packing,
 }
