@@ -6,6 +6,7 @@ from loomgraph.llm import decontaminate
 from loomgraph.llm.decontaminate import op3_decontamination
 from loomgraph.llm.fingerprint import op4_fingerprint
 from loomgraph.llm.packing import op7_packing
+from loomgraph.llm.token_count import op10_token_count
 from loomgraph.llm.token_store import op5_token_store
 
 QUERIES = {
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_fingerprint": op4_fingerprint,
     "op5_token_store": op5_token_store,
     "op7_packing": op7_packing,
+    "op10_token_count": op10_token_count,
 }
 ORACLE: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE_SQL,
