@@ -7,12 +7,14 @@ from loomgraph.llm.decontaminate import op3_decontamination
 from loomgraph.llm.fingerprint import op4_fingerprint
 from loomgraph.llm.packing import op7_packing
 from loomgraph.llm.token_count import op10_token_count
+from loomgraph.llm.toxicity import op6_toxicity
 from loomgraph.llm.token_store import op5_token_store
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_fingerprint": op4_fingerprint,
     "op5_token_store": op5_token_store,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op10_token_count": op10_token_count,
 }
