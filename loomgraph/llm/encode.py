@@ -8,38 +8,75 @@ of one encode() call over the whole text:
 * word-end BPE, which drops white space: at every space and newline.
 
 Texts that hold a special token's string are encoded whole, as the library treats it.
-The memory holds at most ``room`` chunks and is emptied when full.
+The memory holds at most ``room`` chunks.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Callable
 from functools import lru_cache
+from pathlib import Path
 
+import regex
 
 #: White space for which the library's pattern and ours could differ on where a run ends.
-OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
-ROOM = 400_000
+SPACES = [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
+OTHER_SPACE = re.compile("[" + "".join(map(chr, SPACES)) + "]")
+ROOM = 500_000
+#: The settings under which the cuts below hold.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class _Chunks(dict):
+#: Below this code point, letters, digits and case are the same in every Unicode version.
+STABLE = "\u0250"
+#: The patterns by which the two public tokenizers cut.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for code points from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Memory:
+    """Ids by chunk in two generations of half the room each: what is asked again stays, the
+    rest goes, and no more than ``room`` are ever held."""
+
     def __init__(self, encode: Callable[[str], bytes], room: int):
+        self.encode, self.half, self.old = encode, room // 2, {}
+        self.new = _Generation(self)
+
+    def missing(self, chunk: str) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.encode(chunk)
+            if len(chunk) > 64:
+                return found
+        if len(self.new) >= self.half:
+            self.old = dict(self.new)
+            self.new.clear()
+        self.new[chunk] = found
+        return found
+
+
+class _Generation(dict):
+    def __init__(self, memory: _Memory):
         super().__init__()
-        self.encode, self.room = encode, room
+        self.memory = memory
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.room:
-            self.clear()
-        found = self.encode(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = found
-        return found
+        return self.memory.missing(chunk)
 
 
 class Encoder:
@@ -49,25 +86,38 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        kind = self.tokenizer.pre_tokenizer.__class__.__name__
+        parts = json.loads(Path(path).read_text())
+        before, normal = parts["pre_tokenizer"], parts["normalizer"]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keeps_space = kind == "ByteLevel"
+        self.keeps_space = before == BYTE_LEVEL and normal is None
+        drops_space = normal == LOWER and before["type"] == "Sequence" and before["pretokenizers"][0].get("pattern") == {"Regex": WORD_PATTERN}
+        if not (self.keeps_space or drops_space):
+            raise ValueError(f"{path}: neither of the two kinds whose cuts are known")
         self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall if self.keeps_space else re.compile(r"[^ \n]+").findall
-        self.chunks = _Chunks(self._by_model if self.keeps_space else self.whole, room)
-        if self.keeps_space:
-            model, before = self.tokenizer.model, self.tokenizer.pre_tokenizer
-            self._tokenize, self._before = model.tokenize, before.pre_tokenize_str
+        self.pieces = regex.compile(BYTE_PATTERN if self.keeps_space else WORD_PATTERN).findall
+        self.letters, self.tokenize = byte_letters(), self.tokenizer.model.tokenize
+        self.chunks = _Memory(self._chunk, room)
 
     def whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _by_model(self, chunk: str) -> bytes:
-        return pack([t.id for piece, _ in self._before(chunk) for t in self._tokenize(piece)])
+    def _piece(self, piece: str) -> bytes:
+        return pack([t.id for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
+    def _chunk(self, chunk: str) -> bytes:
+        """One chunk by the tokenizer's model; cut by its pattern here where that surely agrees with the library's own cutting."""
+        if max(chunk) >= STABLE:
+            return self.whole(chunk)
+        pieces = self.pieces(chunk if self.keeps_space else chunk.lower())
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        known = self.chunks.new
+        return b"".join([known[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special) or (self.keeps_space and OTHER_SPACE.search(text)):
             return self.whole(text)
-        return b"".join(map(self.chunks.__getitem__, self.cut(text)))
+        return b"".join(map(self.chunks.new.__getitem__, self.cut(text)))
 
 
 @lru_cache(maxsize=2)
