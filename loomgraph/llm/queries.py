@@ -6,6 +6,7 @@ from loomgraph.llm import decontaminate
 from loomgraph.llm.decontaminate import op3_decontamination
 from loomgraph.llm.fingerprint import op4_fingerprint
 from loomgraph.llm.packing import op7_packing
+from loomgraph.llm.quality import op9_quality
 from loomgraph.llm.token_count import op10_token_count
 from loomgraph.llm.toxicity import op6_toxicity
 from loomgraph.llm.token_store import op5_token_store
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_token_store": op5_token_store,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op9_quality": op9_quality,
     "op10_token_count": op10_token_count,
 }
 ORACLE: dict[str, str] = {
