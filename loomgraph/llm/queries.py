@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from loomgraph.llm import decontaminate
+from loomgraph.llm import decontaminate, jaccard_join
 from loomgraph.llm.decontaminate import op3_decontamination
 from loomgraph.llm.fingerprint import op4_fingerprint
+from loomgraph.llm.jaccard_join import op1_ngram_jaccard_join
 from loomgraph.llm.packing import op7_packing
 from loomgraph.llm.quality import op9_quality
 from loomgraph.llm.token_count import op10_token_count
@@ -12,6 +13,7 @@ from loomgraph.llm.toxicity import op6_toxicity
 from loomgraph.llm.token_store import op5_token_store
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_decontamination": op3_decontamination,
     "op4_fingerprint": op4_fingerprint,
     "op5_token_store": op5_token_store,
@@ -21,5 +23,6 @@ QUERIES = {
     "op10_token_count": op10_token_count,
 }
 ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": jaccard_join.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
 }
