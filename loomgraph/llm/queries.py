@@ -5,6 +5,7 @@ from __future__ import annotations
 from loomgraph.llm import decontaminate, jaccard_join
 from loomgraph.llm.decontaminate import op3_decontamination
 from loomgraph.llm.fingerprint import op4_fingerprint
+from loomgraph.llm.html_extract import op2_html_extraction
 from loomgraph.llm.jaccard_join import op1_ngram_jaccard_join
 from loomgraph.llm.packing import op7_packing
 from loomgraph.llm.quality import op9_quality
@@ -14,6 +15,7 @@ from loomgraph.llm.token_store import op5_token_store
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_html_extraction": op2_html_extraction,
     "op3_decontamination": op3_decontamination,
     "op4_fingerprint": op4_fingerprint,
     "op5_token_store": op5_token_store,
