@@ -267,7 +267,7 @@ def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _salvaged(path: str):
     fs, where = open_uri(path)
-    with fs.open_input_stream(where) as file:
+    with fs.open_input_stream(where, compression=None) as file:
         yield from (s := Salvage(file, fs.get_file_info(where).size))
         yield s.gaps
 
