@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from loomgraph.plans import graph_queries
+
+MODULES = [graph_queries]
+QUERIES: dict = {k: f for m in MODULES for k, f in m.Q.items()}
+ORACLE: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
 FLAGSHIP = "khop_paths"
