@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from loomgraph.functions.text import strip, tokens
 
@@ -72,7 +73,7 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _rouge_l(p: pd.Series, g: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(p, g):

@@ -34,5 +34,5 @@ def word_count(c: Column | str) -> Column:
 
 def labels(c: Column | str, patterns: list[str]) -> Column:
     """Distinct labels that the patterns find; those of the first pattern first."""
-    found = [F.transform(F.regexp_extract_all(c, F.lit(p), 1), F.trim) for p in patterns]
+    found = [F.transform(F.regexp_extract_all(c, F.lit(p), 1), lambda m: F.trim(m)) for p in patterns]
     return F.array_distinct(F.concat(*found) if len(found) > 1 else found[0])

@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from loomgraph.functions.ids import node_id
 from loomgraph.functions.text import strip
@@ -97,7 +98,7 @@ def _bare(part: str) -> str:
     return part[:-1] if part[-1:] in ("'", '"') else part
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def _tolerant(s: pd.Series) -> pd.Series:
     return s.map(tolerant)
 

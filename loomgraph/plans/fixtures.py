@@ -5,11 +5,13 @@ Names in braces stand for tables: DataFrames in Spark, views in the oracle.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+PLACE = re.compile(r"\{(" + "|".join(TABLES) + r")\}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    used = set(re.findall(r"\{(\w+)\}", sql))
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    """The SQL over the tables of sf_dir, each a temporary view named after the folder."""
+    mark = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    for t in set(PLACE.findall(sql)):
+        table(spark, sf_dir, t).createOrReplaceTempView(f"{t}_{mark}")
+    return spark.sql(PLACE.sub(lambda m: f"{m[1]}_{mark}", sql))
 
 
 def plain(sql: str) -> str:
     """For the oracle: table names in place of the braces."""
-    return re.sub(r"\{(\w+)\}", r"\1", sql)
+    return PLACE.sub(r"\1", sql)
 
 
 STAR = """
