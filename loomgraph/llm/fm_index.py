@@ -49,9 +49,9 @@ class Bits:
 
 
 class WaveletMatrix:
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, n_symbols: int):
         self.levels, s = [], symbols
-        for bit in reversed(range(max(1, int(symbols.max()).bit_length()))):
+        for bit in reversed(range(max(1, (n_symbols - 1).bit_length()))):  # absent symbols too
             b = (s >> bit) & 1
             self.levels.append((bit, Bits(b), int(len(b) - b.sum())))
             s = np.concatenate([s[b == 0], s[b == 1]])
@@ -81,7 +81,7 @@ class FMIndex:
         """text: symbols below n_symbols, the last is 0."""
         sa = suffix_array(text)
         before = text[sa - 1]  # of position 0: the last symbol, a separator
-        self.wavelet = WaveletMatrix(before.astype(np.int64))
+        self.wavelet = WaveletMatrix(before.astype(np.int64), n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))]).astype(np.int64)
         # every run's start is kept beside each sample-th position, so a walk never crosses a separator
         kept = (sa % sample == 0) | (before == 0)
