@@ -57,8 +57,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key: st
         numbers: dict[int, int] = {}
         for b in batches:
             out: list[tuple] = []
-            for doc, text_ in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = enc.encode(text_.as_py()) + end
+            for doc, ids in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
+                ids += end
                 total, at = len(ids) // 4, 0
                 for n in cut(total, capacity, lengths):
                     number = numbers.get(n, 0)

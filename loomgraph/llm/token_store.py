@@ -36,21 +36,22 @@ FINGERPRINT_SEED = 1 << 20
 MANIFEST = "shard int, path string, first_key long, last_key long, n_docs long, n_tokens long"
 
 
-def _write_shard(path: str, shard: int, rows: Iterator[tuple[int, str]], vocabulary: str, end_id: int) -> tuple | None:
-    code, keys, starts, lengths = None, [], [], []
+def _write_shard(path: str, shard: int, batches: Iterator[pa.RecordBatch], vocabulary: str, end_id: int) -> tuple | None:
+    keys, starts, lengths = [], [], []
     tokens = 0
     enc = encoder(vocabulary)
+    rows = (r for b in batches for r in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())))
     width = 2 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     end = struct.pack("<I", end_id)
     target, out = f"{path}/shard-{shard:06d}.tok", None
     try:
-        for key, text in rows:
+        for key, code in rows:
             if out is None:
                 out = AtomicFile(target).__enter__()
                 out.write(MAGIC)
             if keys and key == keys[-1]:
                 continue
-            code = enc.encode(text) + end
+            code += end
             ids = np.frombuffer(code, "<u4")
             out.write(ids.astype("<u2").tobytes() if width == 2 else code)
             keys.append(key)
@@ -98,7 +99,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, key: s
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        made = _write_shard(path, shard, (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), vocabulary, end_id)
+        made = _write_shard(path, shard, batches, vocabulary, end_id)
         if made:
             yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in MANIFEST.split(", ")], made))], schema=_schema(MANIFEST))
 
