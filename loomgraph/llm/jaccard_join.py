@@ -13,11 +13,12 @@ Then, without gathering any group:
 1. Documents with equal sets become one representative.
 2. Index entries of equal member sets become one. Groups of up to SMALL members give all
    their pairs, larger ones a star: every member with the member of fewest rare shingles.
-   Candidate pairs are verified on the whole texts.
+   Sizes and parity maps (a lower bound of the sets' difference) rule out most of them;
+   the others are verified on the whole texts.
 3. Large groups that the links so far leave in several components are dealt out in blocks
-   of members outside the star's component against all members, verified as matrix
-   products. Two sets in a pair's group that share no rare shingle overlap in frequent
-   ones at most, which rules out nearly all of these before any text is read.
+   of members outside the star's component against all members, with the same bounds as
+   arrays; two sets of a pair's group that share no rare shingle overlap in frequent ones
+   at most. What is left is verified like the others.
 4. Links give components; copies follow their representative.
 
 Defined results: null text has no shingles, and an empty set links with nothing; a text of
@@ -32,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ from loomgraph.scratch import materialize
 
 SMALL = 8
 BLOCK = 256
+VERIFY_BYTES = 4 << 20
+SHARED_CALL = 20_000
 #: A shingle is frequent if some stretch of CHUNK shingles holds it LOCAL times and all such
 #: stretches together FREQUENT times; the most frequent MOST of them are sent to the workers.
 CHUNK, LOCAL, FREQUENT, MOST = 1 << 21, 3, 24, 1 << 17
@@ -130,7 +134,15 @@ class Prefix:
         return rare, np.concatenate(pairs) if pairs else none, len(rare)
 
 
-SETS = "doc_id long, n long, rare long, digest binary, singles array<long>, pairs array<long>"
+#: Bits of the parity map of a set: bit b is the parity of the number of its shingles whose
+#: hash begins with b. Maps of two sets differ in no more bits than the sets differ in shingles.
+PARITY_BITS = 10
+SETS = "doc_id long, n long, rare long, digest binary, parity binary, singles array<long>, pairs array<long>"
+
+
+def parity(u: np.ndarray) -> bytes:
+    at = (u >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=1 << PARITY_BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def indexed_sets(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -146,10 +158,10 @@ def indexed_sets(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 made = []
                 for u in shingle_rows(h, row, j - i, width):
                     single, pair, rare = prefix.entries(u)
-                    made.append((len(u), rare, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), single.view(np.int64), pair.view(np.int64)))
-                n, rare, digest, single, pair = zip(*made)
+                    made.append((len(u), rare, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), parity(u), single.view(np.int64), pair.view(np.int64)))
+                n, rare, digest, odd, single, pair = zip(*made)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(digest, pa.binary()),
+                    b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary()),
                     pa.array(single, pa.list_(pa.int64())), pa.array(pair, pa.list_(pa.int64())),
                 ], names=[c.split()[0] for c in SETS.split(", ")])
 
@@ -169,6 +181,22 @@ def linked(inter, size_a, size_b, num: int, den: int):
     return den * inter >= num * (size_a + size_b - inter)
 
 
+def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that sizes and parity maps do not rule out: near sets differ in (n + m)(den - num) / (den + num) shingles at most."""
+    own = lambda c: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}"))
+    joined = pairs.join(own("a"), "a").join(own("b"), "b").where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
+
+    def keep(batches):
+        for b in batches:
+            if b.num_rows:
+                n = b.column(2).to_numpy() + b.column(3).to_numpy()
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                yield b.select(["a", "b"]).filter(pa.array(differ * (den + num) <= n * (den - num)))
+
+    return joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(keep, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose whole texts are near enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -176,8 +204,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
 
     def verify(batches):
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                c = b.slice(k, 512)
+            size = np.cumsum(pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy())
+            cuts = np.flatnonzero(np.diff(size // VERIFY_BYTES)) + 1
+            for k, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
+                c = b.slice(k, stop - k)
                 ids_a, ids_b, ta, tb = (c.column(i).to_pylist() for i in range(4))
                 distinct = {t: i for i, t in enumerate(dict.fromkeys(ta + tb))}
                 sets = sets_of(list(distinct), width)
@@ -199,51 +229,37 @@ def _could(a: str, b: str, num: int, den: int) -> str:
     return f"({size} AND (NOT {a}.pair OR least({a}.n - {a}.rare, {b}.n - {b}.rare) * {num + den} >= ({a}.n + {b}.n) * {num}))"
 
 
-def block_links(table: pa.Table, width: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links among one block pair: outside members (side 0) against all (side 1)."""
-    side, doc, comp = (table.column(c).to_numpy() for c in ("side", "doc_id", "comp"))
-    sets = sets_of(table.column("text").to_pylist(), width)
-    size = np.array([len(s) for s in sets])
-    token, at = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), size)
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Whole texts of the documents in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = materialize(wanted, "wanted")
+    return materialize(keep_listed(rows, "doc_id", wanted).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+
+
+def block_candidates(table: pa.Table, num: int, den: int) -> pa.Table:
+    """Pairs of a block pair, outside members (side 0) with all (side 1), of different components that sizes and parity maps allow."""
+    side, doc, comp, n, rare = (table.column(c).to_numpy() for c in ("side", "doc_id", "comp", "n", "rare"))
+    bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
+    paired = table.column("pair").to_numpy(zero_copy_only=False)
     out, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(out) or not len(rest):
-        return []
-    place = np.full(len(sets), -1)
-    place[out], place[rest] = np.arange(len(out)), np.arange(len(rest))
-    inter = np.zeros((len(out), len(rest)), np.float32)
-    shared = np.bincount(at, minlength=len(token)) > 1
-    order = np.flatnonzero(shared[at])
-    number = np.cumsum(shared) - 1
-    columns = number[at[order]]
-    for low in range(0, int(shared.sum()), 4096):
-        part = order[(columns >= low) & (columns < low + 4096)]
-        a, b = np.zeros((len(out), 4096), np.float32), np.zeros((len(rest), 4096), np.float32)
-        of_a, of_b = part[side[row[part]] == 0], part[side[row[part]] == 1]
-        a[place[row[of_a]], number[at[of_a]] - low] = 1
-        b[place[row[of_b]], number[at[of_b]] - low] = 1
-        inter += a @ b.T
-    near = linked(inter.astype(np.int64), size[out][:, None], size[rest][None, :], num, den)
-    near &= comp[out][:, None] != comp[rest][None, :]
-    root = {c: c for c in set(comp.tolist())}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-
-    links = []
-    for i, j in zip(*np.nonzero(near)):
-        x, y = find(int(comp[out[i]])), find(int(comp[rest[j]]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            links.append((int(doc[out[i]]), int(doc[rest[j]])))
-    return links
-
-
-def _across_blocks(groups: DataFrame, links: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
-    """Links in large groups whose members are in several components so far."""
+    differ = np.zeros((len(out), len(rest)), np.int64)
+    for w in range(bits.shape[1]):
+        differ += np.bitwise_count(bits[out, w][:, None] ^ bits[rest, w][None, :])
+    both = n[out][:, None] + n[rest][None, :]
+    common = np.minimum((n - rare)[out][:, None], (n - rare)[rest][None, :])
+    ok = (differ * (den + num) <= both * (den - num)) & (comp[out][:, None] != comp[rest][None, :])
+    ok &= np.minimum(n[out][:, None], n[rest][None, :]) * den >= np.maximum(n[out][:, None], n[rest][None, :]) * num
+    ok &= ~paired[out][:, None] | (common * (num + den) >= both * num)
+    i, j = np.nonzero(ok)
+    x, y = doc[out[i]], doc[rest[j]]
+    return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
+
+
+def _across_blocks(groups: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+    """Further candidates in large groups whose members are in several components so far.
+
+    A pair of blocks is one call of at most 2 * BLOCK members; small groups share calls.
+    """
     comps = materialize(connected_components(links), "components")
     own = groups.join(comps, groups.doc_id == comps.id, "left").select(groups["*"], F.coalesce("component", "doc_id").alias("comp"))
     own = materialize(own, "grouped")
@@ -255,19 +271,28 @@ def _across_blocks(groups: DataFrame, links: DataFrame, texts: DataFrame, width:
     partner = f"greatest(least_n, ceil(n * {num} / {den}))"
     own = materialize(own.where(f"NOT pair OR (n - rare) * {num + den} >= (n + {partner}) * {num}"), "open-groups")
     sizes = own.groupBy("sig").agg(F.count("*").alias("g"), F.sum(F.expr("int(comp <> star)")).alias("u")).where("u > 0")
-    sizes = materialize(sizes.select("sig", F.ceil(F.col("g") / BLOCK).alias("nj"), F.ceil(F.col("u") / BLOCK).alias("ni")), "open-sizes")
-    if sizes.isEmpty():
+    sizes = materialize(sizes.select("sig", "g", F.ceil(F.col("g") / BLOCK).alias("nj"), F.ceil(F.col("u") / BLOCK).alias("ni")), "open-sizes")
+    total = sizes.agg(F.sum("g")).first()[0]
+    if not total:
         return None
-    own = own.join(sizes, "sig").withColumns({"h": F.xxhash64("doc_id")})
-    outside = own.where("comp <> star").select("sig", F.pmod("h", "ni").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"), F.lit(0).alias("side"), "doc_id", "comp")
-    every = own.select("sig", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"), F.pmod("h", "nj").alias("j"), F.lit(1).alias("side"), "doc_id", "comp")
-    rows = outside.unionByName(every).join(texts, "doc_id")
+    own = own.join(sizes.drop("g"), "sig").join(sets.select("doc_id", "parity"), "doc_id").withColumn("h", F.xxhash64("doc_id"))
+    kept = ["sig", "doc_id", "comp", "n", "rare", "pair", "parity", "ni", "nj"]
+    steps = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    outside = own.where("comp <> star").select(*kept, F.lit(0).alias("side"), F.pmod("h", "ni").alias("i"), steps("nj").alias("j"))
+    every = own.select(*kept, F.lit(1).alias("side"), steps("ni").alias("i"), F.pmod("h", "nj").alias("j"))
+    calls = max(1, -(-total // SHARED_CALL))
+    shared = F.pmod(F.xxhash64("sig"), F.lit(calls))
+    rows = outside.unionByName(every).withColumn("call", F.when(F.col("ni") * F.col("nj") == 1, shared).otherwise(F.xxhash64("sig", "i", "j")))
+    rows = rows.drop("ni", "nj")
 
     def run(table: pa.Table) -> pa.Table:
-        links = block_links(table, width, num, den)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        table = table.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key = np.stack([table.column(c).to_numpy() for c in ("sig", "i", "j")])
+        cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()
+        parts = [block_candidates(table.slice(x, y - x), num, den) for x, y in zip([0, *cuts], [*cuts, table.num_rows])]
+        return pa.concat_tables(parts)
 
-    return rows.groupBy("sig", "i", "j").applyInArrow(run, "a long, b long")
+    return rows.groupBy("call").applyInArrow(run, "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -297,14 +322,13 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     large = grouped.where(f"members > {SMALL}")
     stars = large.where("doc_id <> star").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))
     ordered = of_two.unionByName(in_small).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(ordered.distinct(), "candidates")
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    texts = materialize(keep_listed(rows, "doc_id", wanted).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
-    links = materialize(verified(pairs, texts, width, num, den), "links")
-    more = _across_blocks(large.select("sig", "doc_id", "n", "rare", "pair"), links, texts, width, num, den)
+    pairs = materialize(ordered.distinct(), "pairs")
+    pairs = materialize(possible(pairs, indexed, num, den), "candidates")
+    links = materialize(verified(pairs, _texts(rows, pairs), width, num, den), "links")
+    more = _across_blocks(large.select("sig", "doc_id", "n", "rare", "pair"), links, indexed, num, den)
     if more is not None:
-        links = links.unionByName(materialize(more, "block-links"))
+        more = materialize(more, "block-candidates")
+        links = links.unionByName(materialize(verified(more, _texts(rows, more), width, num, den), "block-links"))
     comps = materialize(connected_components(links), "components")
     out = members.join(comps, members.representative == comps.id, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
