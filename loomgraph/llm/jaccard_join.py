@@ -134,15 +134,37 @@ class Prefix:
         return rare, np.concatenate(pairs) if pairs else none, len(rare)
 
 
-#: Bits of the parity map of a set: bit b is the parity of the number of its shingles whose
-#: hash begins with b. Maps of two sets differ in no more bits than the sets differ in shingles.
+#: Fewest bits of the parity map of a set: bit b is the parity of the number of its shingles
+#: whose hash ends with b. Maps of two sets differ in no more bits than the sets differ in
+#: shingles. A map has more bits than its set has shingles, so it never fills up; the halves
+#: of a larger map xor to the smaller one.
 PARITY_BITS = 10
 SETS = "doc_id long, n long, rare long, digest binary, parity binary, singles array<long>, pairs array<long>"
 
 
 def parity(u: np.ndarray) -> bytes:
-    at = (u >> np.uint64(64 - PARITY_BITS)).astype(np.int64)
-    return np.packbits((np.bincount(at, minlength=1 << PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+    bits = 1 << max(PARITY_BITS, len(u).bit_length())
+    at = (u & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Maps of at least ``size`` bytes as rows of 64-bit words, each folded to that size."""
+    out = np.empty((len(maps), size // 8), np.uint64)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint64)
+        while len(x) * 8 > size:
+            half = len(x) // 2
+            x = x[:half] ^ x[half:]
+        out[i] = x
+    return out
+
+
+def map_difference(x: bytes, y: bytes) -> int:
+    a, b = (x, y) if len(x) <= len(y) else (y, x)
+    if len(a) != len(b):
+        b = folded([b], len(a)).tobytes()
+    return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
 def indexed_sets(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -190,8 +212,7 @@ def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         for b in batches:
             if b.num_rows:
                 n = b.column(2).to_numpy() + b.column(3).to_numpy()
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
-                differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                differ = np.fromiter(map(map_difference, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
                 yield b.select(["a", "b"]).filter(pa.array(differ * (den + num) <= n * (den - num)))
 
     return joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(keep, "a long, b long").distinct()
@@ -239,12 +260,20 @@ def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 def block_candidates(table: pa.Table, num: int, den: int) -> pa.Table:
     """Pairs of a block pair, outside members (side 0) with all (side 1), of different components that sizes and parity maps allow."""
     side, doc, comp, n, rare = (table.column(c).to_numpy() for c in ("side", "doc_id", "comp", "n", "rare"))
-    bits = np.frombuffer(b"".join(table.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
+    maps = table.column("parity").to_pylist()
+    held = np.array([len(m) for m in maps])
     paired = table.column("pair").to_numpy(zero_copy_only=False)
     out, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     differ = np.zeros((len(out), len(rest)), np.int64)
-    for w in range(bits.shape[1]):
-        differ += np.bitwise_count(bits[out, w][:, None] ^ bits[rest, w][None, :])
+    lower = np.minimum(held[out][:, None], held[rest][None, :])
+    for size in np.unique(lower).tolist():
+        p, q = np.flatnonzero(held[out] >= size), np.flatnonzero(held[rest] >= size)
+        x, y = folded([maps[k] for k in out[p]], size), folded([maps[k] for k in rest[q]], size)
+        own = np.zeros((len(p), len(q)), np.int64)
+        for w in range(size // 8):
+            own += np.bitwise_count(x[:, w][:, None] ^ y[:, w][None, :])
+        at = np.ix_(p, q)
+        differ[at] = np.where(lower[at] == size, own, differ[at])
     both = n[out][:, None] + n[rest][None, :]
     common = np.minimum((n - rare)[out][:, None], (n - rare)[rest][None, :])
     ok = (differ * (den + num) <= both * (den - num)) & (comp[out][:, None] != comp[rest][None, :])
