@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLAB_BYTES = 1 << 21
+SLAB_BYTES = 1 << 19
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ import numpy as np
 #: White space for which the library's pattern and ours could differ on where a run ends.
 SPACES = [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 OTHER_SPACE = re.compile("[" + "".join(map(chr, SPACES)) + "]")
-ROOM = 1_000_000
+ROOM = 600_000
 #: The settings under which the cuts below hold.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 LOWER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}

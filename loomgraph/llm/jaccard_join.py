@@ -50,7 +50,7 @@ VERIFY_BYTES = 4 << 20
 SHARED_CALL = 20_000
 #: A shingle is frequent if some stretch of CHUNK shingles holds it LOCAL times and all such
 #: stretches together FREQUENT times; the most frequent MOST of them are sent to the workers.
-CHUNK, LOCAL, FREQUENT, MOST = 1 << 21, 3, 24, 1 << 17
+CHUNK, LOCAL, FREQUENT, MOST = 1 << 20, 3, 24, 1 << 17
 
 
 def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
