@@ -342,9 +342,36 @@ def rouge_2(spark, d):
     return frame(spark, d, PAIRS).select("doc_id", F.round(M.rouge_n("pred", "gold", 2), 6).alias("rouge2"))
 
 
+#: Whole texts of all documents: against the same text, a benchmark item, or the document before.
+WHOLE = """SELECT d.doc_id, concat(coalesce(d.text, ''), CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE ' tail' END) AS pred,
+CASE WHEN d.doc_id % 3 = 0 THEN concat(' ', d.text) WHEN d.doc_id % 3 = 1 THEN b.text ELSE o.text END AS gold
+FROM {documents} d LEFT JOIN {benchmark} b ON d.doc_id % 3 = 1 AND b.item_id = d.doc_id % (SELECT count(*) FROM {benchmark})
+LEFT JOIN {documents} o ON d.doc_id % 3 = 2 AND o.doc_id = d.doc_id - 1"""
+
+
+@query("em_acc_whole")
+def em_acc_whole(spark, d):
+    return frame(spark, d, WHOLE).select("doc_id", M.exact_match(F.col("pred"), F.col("gold")).alias("em"), M.accuracy("pred", "gold").alias("acc"))
+
+
+@query("f1_tokens_whole")
+def f1_tokens_whole(spark, d):
+    return frame(spark, d, WHOLE).select("doc_id", F.round(M.token_f1("pred", "gold"), 6).alias("f1"))
+
+
+@query("rouge_1_whole")
+def rouge_1_whole(spark, d):
+    return frame(spark, d, WHOLE).select("doc_id", F.round(M.rouge_n("pred", "gold", 1), 6).alias("rouge1"))
+
+
+@query("rouge_2_whole")
+def rouge_2_whole(spark, d):
+    return frame(spark, d, WHOLE).select("doc_id", F.round(M.rouge_n("pred", "gold", 2), 6).alias("rouge2"))
+
+
 @query("rouge_l")
 def rouge_l(spark, d):
-    return frame(spark, d, PAIRS).select("doc_id", F.round(M.rouge_l("pred", "gold"), 6).alias("rougeL"))
+    return frame(spark, d, WHOLE).select("doc_id", F.round(M.rouge_l("pred", "gold"), 6).alias("rougeL"))
 
 
 EVALS = "SELECT event_id AS example_id, concat('model', user_id % 4) AS model_name, event_type AS task_type, concat('q', event_id % 500) AS query, value / 100.0 AS em, value / 50.0 AS acc, value AS f1, value + 1 AS rouge1, value + 2 AS rouge2, value + 3 AS rougeL FROM {events}"
