@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import hash_order
-from loomgraph.operators.graph import degrees, neighbour_types, typed_neighbours
+from loomgraph.operators.graph import degrees, neighbour_types, neighbours, typed_neighbours
 from loomgraph.schemas import TASK
 
 #: Task, required Chunk, Table, Image and Formula neighbours, most steps.
@@ -99,24 +99,39 @@ def deduplicate(paths: DataFrame) -> DataFrame:
     return paths.withColumn("path_key", F.array_join("path", "->")).dropDuplicates(["path_key"]).drop("path_key")
 
 
-def dfs_traces(starts: DataFrame, edges: DataFrame, max_steps: int, seed: str, low: int = 0, high: int = 200, width: int = 20, beam: int = 1) -> DataFrame:
-    """(start, path): from each start the longest path found, of at most max_steps steps.
+def dfs_traces(starts: DataFrame, edges: DataFrame, max_steps: int, seed: str, low: int = 0, high: int = 200, width: int = 20, mode: str = "out") -> DataFrame:
+    """(start, path): from each start the longest simple path of at most max_steps steps.
 
-    A step goes to unvisited successors whose degree is in [low, high]: of the ``width``
-    of highest degree the ``beam`` first by hash. Each round is a join on the frontier.
+    Steps go along edges (out), against them (in; the path is given reversed) or both (all),
+    to unvisited neighbours with between low and high neighbours of their own: the ``width``
+    with most of these, in hash order. Of equally long paths the one that a backtracking
+    search in that order meets first. All ``width`` choices of every path are followed, so at
+    most width^(max_steps - 1) paths a start are held; the last step keeps one choice a path.
     """
-    d = degrees(edges).select(F.col("id").alias("tail"), (F.col("in_deg") + F.col("out_deg")).alias("degree")).where(F.col("degree").between(low, high))
-    steps = edges.select("head", "tail").distinct().join(d, "tail")
-    top = F.row_number().over(Window.partitionBy("head").orderBy(F.desc("degree"), hash_order(seed, "tail")))
-    steps = steps.withColumn("t", top).where(F.col("t") <= width).select("head", "tail")
-    paths = starts.select(F.col("id").alias("start"), F.array("id").alias("path"), F.col("id").alias("last"))
-    out = paths
-    for _ in range(max_steps):
-        grown = paths.join(steps, paths.last == steps["head"]).where(~F.array_contains("path", F.col("tail")))
-        pick = F.row_number().over(Window.partitionBy("start", "path").orderBy(hash_order(seed, "start", "tail"), "tail"))
-        paths = grown.withColumn("p", pick).where(F.col("p") <= beam).select("start", F.concat("path", F.array("tail")).alias("path"), F.col("tail").alias("last"))
-        out = out.unionByName(paths)
-    return out.groupBy("start").agg(F.max_by("path", F.struct(F.size("path"), "path")).alias("path"))
+    from loomgraph.scratch import materialize
+
+    near = neighbours(edges, mode)
+    d = near.groupBy("id").agg(F.count("*").alias("degree"))
+    begin = starts.select("id").distinct()
+    walked = begin.unionByName(d.where(F.col("degree").between(low, high)).select("id")).distinct()
+    steps = near.join(walked, "id", "left_semi").join(d.withColumnRenamed("id", "neighbour"), "neighbour", "left")
+    steps = steps.withColumn("degree", F.coalesce("degree", F.lit(0))).where(F.col("degree").between(low, high))
+    top = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("degree"), hash_order(seed, "neighbour"), "neighbour"))
+    ranked = steps.withColumn("t", top).where(F.col("t") <= width + max_steps)  # a path visits at most max_steps of them
+    choices = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("t", "neighbour"))).getField("neighbour").alias("choices"))
+    choices = materialize(choices, "choices")
+    paths = begin.select(F.col("id").alias("start"), F.array("id").alias("path"), F.array().cast("array<string>").alias("order"), F.col("id").alias("last"))
+    best = lambda df: df.groupBy("start").agg(F.min_by("path", "order").alias("path"))
+    out = best(paths)
+    for n in range(1, max_steps + 1):
+        grown = paths.join(choices, paths.last == choices.id)
+        grown = grown.withColumn("choices", F.slice(F.filter("choices", lambda x: ~F.array_contains("path", x)), 1, width)).where("size(choices) > 0")
+        found = F.transform("choices", lambda x: F.struct(hash_order(seed, F.col("start"), x).alias("h"), x.alias("id")))
+        grown = grown.select("start", "path", "order", F.explode(F.array(F.array_min(found)) if n == max_steps else found).alias("c"))
+        paths = materialize(grown.select("start", F.concat("path", F.array("c.id")).alias("path"), F.concat("order", F.array("c.h")).alias("order"), F.col("c.id").alias("last")), "paths")
+        out = out.unionByName(best(paths))
+    longest = out.groupBy("start").agg(F.max_by("path", F.size("path")).alias("path"))
+    return longest.withColumn("path", F.reverse("path")) if mode == "in" else longest
 
 
 def bridges(edges: DataFrame, nodes: DataFrame, hubs: int = 10) -> DataFrame:

@@ -12,6 +12,7 @@ from loomgraph.operators import resolve as R
 from loomgraph.operators import sampling as S
 from loomgraph.operators import traces as T
 from loomgraph.plans.fixtures import HUBS, STAR, TYPED_EDGES, TYPED_NODES, frame, plain
+from loomgraph.scratch import materialize
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -185,12 +186,32 @@ def acs_sampler(spark, d):
     return S.samples(n, e, "acs", 1, 100, SEED)
 
 
+def _traces(spark, d, mode):
+    n, e = _typed(spark, d)
+    tasks = T.task_info(spark)
+    starts = materialize(T.start_candidates(e, n, tasks, SEED), "starts")
+    found = None
+    for most in sorted({t[-1] for t in T.TASKS}):
+        own = starts.join(F.broadcast(tasks.where(F.col("max_steps") == most).select(F.col("task_type").alias("task"))), "task")
+        traces = T.dfs_traces(own.select("id"), e, most, SEED, mode=mode)
+        rows = own.join(traces, own.id == traces.start).select("task", "start", F.array_join("path", "->").alias("path"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("dfs_traces")
 def dfs_traces(spark, d):
-    n, e = _typed(spark, d)
-    starts = T.start_candidates(e, n, T.task_info(spark).where("task_type = 'Entity'"), SEED)
-    traces = T.dfs_traces(starts.select("id"), e, 4, SEED)
-    return traces.select("start", F.array_join("path", "->").alias("path"))
+    return _traces(spark, d, "out")
+
+
+@query("dfs_traces_in")
+def dfs_traces_in(spark, d):
+    return _traces(spark, d, "in")
+
+
+@query("dfs_traces_all")
+def dfs_traces_all(spark, d):
+    return _traces(spark, d, "all")
 
 
 @query("hub_bridges", f"""{WITH_TYPED}, h AS (SELECT n.id FROM n JOIN (SELECT tail, count(*) AS g FROM e GROUP BY tail) ON n.id = tail WHERE type IN ('Table', 'Image', 'Formula') ORDER BY g DESC, n.id LIMIT 10),

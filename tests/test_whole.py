@@ -1,12 +1,14 @@
 """Queries over whole inputs against brute force."""
 
+import hashlib
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
+from loomgraph.operators import traces as TR
 from loomgraph.plans import registry
 from tests.conftest import DATA
 
@@ -54,3 +56,53 @@ def test_metrics_over_whole_texts(spark, pairs):
             assert abs(rl[k].rougeL - measure(lcs(a, b), len(a), len(b))) < 2e-6
         elif k % 3 == 0:
             assert abs(rl[k].rougeL - measure(len(b), len(a), len(b))) < 2e-6
+
+
+def longest(near, start, max_steps, low, high, width, seed):
+    """Backtracking search by recursion; near: neighbours of each node."""
+    order = lambda *x: hashlib.md5("|".join((seed, *x)).encode()).hexdigest()
+    degree = lambda x: len(near.get(x, ()))
+    best = [start]
+
+    def walk(path):
+        nonlocal best
+        if len(path) > len(best):
+            best = path
+        if len(best) == max_steps + 1 or len(path) == max_steps + 1:
+            return
+        left = [x for x in near.get(path[-1], ()) if x not in path and low <= degree(x) <= high]
+        top = sorted(left, key=lambda x: (-degree(x), order(x), x))[:width]
+        for x in sorted(top, key=lambda x: order(start, x)):
+            if len(best) < max_steps + 1:
+                walk(path + [x])
+
+    walk([start])
+    return best
+
+
+@pytest.mark.parametrize("mode", ["out", "in", "all"])
+def test_traces_equal_backtracking(spark, mode):
+    rng = random.Random(3)
+    pairs = {(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(110)}
+    pairs |= {("s", f"dead{i}") for i in range(9)} | {("s", "a"), ("a", "b"), ("b", "c"), ("c", "e"), ("e", "f")}
+    near = {}
+    for a, b in pairs:
+        if mode != "in":
+            near.setdefault(a, set()).add(b)
+        if mode != "out":
+            near.setdefault(b, set()).add(a)
+    edges = spark.createDataFrame(sorted(pairs), "head string, tail string")
+    ids = sorted({x for p in pairs for x in p})
+    starts = spark.createDataFrame([(x,) for x in ids], "id string")
+    for low, high, width in ((0, 200, 20), (1, 5, 2)):
+        got = {r.start: r.path for r in TR.dfs_traces(starts, edges, 4, "x", low, high, width, mode=mode).collect()}
+        want = {x: longest(near, x, 4, low, high, width, "x") for x in ids}
+        assert got == {x: p[::-1] if mode == "in" else p for x, p in want.items()}
+        if mode == "out" and width == 20:
+            assert got["s"] == ["s", "a", "b", "c", "e"]
+
+
+def test_traces_of_all_tasks(spark):
+    rows = registry.QUERIES["dfs_traces"](spark, DATA).collect()
+    assert {r.task for r in rows} == {r.task for r in registry.QUERIES["start_candidates"](spark, DATA).collect()}
+    assert len({r.task for r in rows}) > 1
