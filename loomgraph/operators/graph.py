@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,14 +95,14 @@ def node_types(nodes: DataFrame) -> DataFrame:
     return nodes.select("type").distinct()
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, max_steps: int) -> DataFrame:
-    """(src, dst, len) by breadth-first frontiers along edges; sources: (src). A node's own distance is 0."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, max_steps: int | None) -> DataFrame:
+    """(src, dst, len) by breadth-first frontiers along edges, without max_steps until nothing new is met; sources: (src). A node's own distance is 0."""
     from loomgraph.scratch import materialize
 
     steps = edges.select("head", "tail").distinct()
     seen = sources.select("src", F.col("src").alias("dst"), F.lit(0).alias("len"))
     frontier = seen
-    for k in range(1, max_steps + 1):
+    for k in count(1) if max_steps is None else range(1, max_steps + 1):
         reached = frontier.join(steps, frontier.dst == steps["head"]).select("src", F.col("tail").alias("dst")).distinct()
         frontier = materialize(reached.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("len", F.lit(k)), "frontier")
         seen = seen.unionByName(frontier)

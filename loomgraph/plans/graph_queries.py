@@ -262,6 +262,13 @@ def shortest_path_len(spark, d):
     return found.withColumn("len", F.col("len").cast("long"))
 
 
+@query("shortest_path_len_star")
+def shortest_path_len_star(spark, d):
+    """From every head over all edges, to any distance."""
+    e = frame(spark, d, STAR)
+    return G.shortest_paths(e, e.select(F.col("head").alias("src")).distinct(), None).withColumn("len", F.col("len").cast("long"))
+
+
 # ---- rewrites and merges --------------------------------------------------------------
 
 @query("alias_rewrite", f"""WITH t AS ({HUBS_}) SELECT coalesce('Nation of ' || h.r_name, head) AS head, relation, coalesce('Nation of ' || x.r_name, tail) AS tail FROM t

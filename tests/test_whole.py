@@ -8,8 +8,10 @@ from collections import Counter
 import duckdb
 import pytest
 
+from loomgraph.operators import graph as G
 from loomgraph.operators import traces as TR
 from loomgraph.plans import registry
+from loomgraph.plans.fixtures import STAR, frame
 from tests.conftest import DATA
 
 
@@ -106,3 +108,32 @@ def test_traces_of_all_tasks(spark):
     rows = registry.QUERIES["dfs_traces"](spark, DATA).collect()
     assert {r.task for r in rows} == {r.task for r in registry.QUERIES["start_candidates"](spark, DATA).collect()}
     assert len({r.task for r in rows}) > 1
+
+
+@pytest.fixture(scope="module")
+def star(spark):
+    return {tuple(r) for r in frame(spark, DATA, STAR).select("head", "relation", "tail").collect()}
+
+
+def test_shortest_paths_of_all_heads(spark, star):
+    steps = {}
+    for head, _, tail in star:
+        steps.setdefault(head, set()).add(tail)
+    want = set()
+    for src in steps:
+        seen = layer = {src}
+        n = 0
+        while layer:
+            want |= {(src, x, n) for x in layer}
+            layer = {y for x in layer for y in steps.get(x, ())} - seen
+            seen = seen | layer
+            n += 1
+    rows = registry.QUERIES["shortest_path_len_star"](spark, DATA).select("src", "dst", "len").collect()
+    assert len(rows) == len(want) and set(map(tuple, rows)) == want
+    assert {r.src for r in rows} == {x[0] for x in star}
+
+
+def test_shortest_paths_in_a_loop(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a")], "head string, tail string")
+    got = G.shortest_paths(e, e.selectExpr("head AS src"), None).collect()
+    assert {(r.src, r.dst): r.len for r in got} == {(a, b): (ord(b) - ord(a)) % 5 for a in "abcde" for b in "abcde"}
