@@ -112,6 +112,11 @@ def node_relations(spark, d):
     return G.node_relations(frame(spark, d, HUBS))
 
 
+@query("node_relations_star")
+def node_relations_star(spark, d):
+    return G.node_relations(frame(spark, d, STAR))
+
+
 @query("object_lookup", f"SELECT head, relation, min_by(tail, row(seq, tail)) AS tail FROM ({STAR_}) GROUP BY head, relation")
 def object_lookup(spark, d):
     return G.objects(frame(spark, d, STAR))
@@ -247,6 +252,26 @@ def path_relations(spark, d):
     return T.path_relations(paths, e).withColumn("pos", F.col("pos").cast("long"))
 
 
+def _star_edges(spark, d):
+    return E.deduplicate(E.relation_edges(frame(spark, d, STAR)))
+
+
+@query("khop_paths_star")
+def khop_paths_star(spark, d):
+    """Paths of up to three steps over all relations."""
+    n = N.entity_nodes(frame(spark, d, STAR))
+    paths = T.khop_paths(G.collapse(G.valid_edges(_star_edges(spark, d), n)), 3)
+    return paths.select(F.array_join("path", "->").alias("path"), F.col("len").cast("long").alias("len"))
+
+
+@query("path_relations_star")
+def path_relations_star(spark, d):
+    """The edges of all paths of up to three steps over all relations."""
+    e = _star_edges(spark, d)
+    paths = T.khop_paths(e, 3).withColumn("path_id", F.array_join("path", "->"))
+    return T.path_relations(paths, e).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("path_dedup", f"""SELECT DISTINCT {ENT("concat('Part#', l_partkey)")} || '->' || {ENT("concat('Supplier#', l_suppkey)")} AS path FROM lineitem""")
 def path_dedup(spark, d):
     e = E.relation_edges(frame(spark, d, PARALLEL))
@@ -274,8 +299,17 @@ def shortest_path_len_star(spark, d):
 @query("alias_rewrite", f"""WITH t AS ({HUBS_}) SELECT coalesce('Nation of ' || h.r_name, head) AS head, relation, coalesce('Nation of ' || x.r_name, tail) AS tail FROM t
 LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) h ON head = h.n_name LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) x ON tail = x.n_name""")
 def alias_rewrite(spark, d):
+    return _alias_rewrite(spark, d, HUBS)
+
+
+@query("alias_rewrite_star")
+def alias_rewrite_star(spark, d):
+    return _alias_rewrite(spark, d, STAR)
+
+
+def _alias_rewrite(spark, d, triples):
     mapping = frame(spark, d, "SELECT n_name AS old, concat('Nation of ', r_name) AS new FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
-    return R.rewrite(frame(spark, d, HUBS), mapping, "head", "tail").select("head", "relation", "tail")
+    return R.rewrite(frame(spark, d, triples), mapping, "head", "tail").select("head", "relation", "tail")
 
 
 @query("relation_rewrite", f"SELECT head, CASE relation WHEN 'in_nation' THEN 'located_in' WHEN 'in_region' THEN 'located_in' ELSE relation END AS relation, tail FROM ({STAR_})")
@@ -287,9 +321,17 @@ def relation_rewrite(spark, d):
 @query("edge_correction", f"""WITH t AS ({HUBS_}), x AS (SELECT CASE WHEN head LIKE 'Customer%' THEN 'Customer' ELSE head END AS head, CASE relation WHEN 'in_region' THEN 'located_in' ELSE relation END AS relation, tail, seq FROM t)
 SELECT head, relation, tail, max(seq) AS seq FROM x GROUP BY head, relation, tail""")
 def edge_correction(spark, d):
-    t = frame(spark, d, HUBS)
+    return _edge_correction(frame(spark, d, HUBS))
+
+
+@query("edge_correction_star")
+def edge_correction_star(spark, d):
+    return _edge_correction(frame(spark, d, STAR))
+
+
+def _edge_correction(t):
     merged = t.where("head LIKE 'Customer%'").select(F.col("head").alias("old"), F.lit("Customer").alias("new")).distinct()
-    return E.correct(t, merged, spark.createDataFrame([("in_region", "located_in")], "old string, new string"))
+    return E.correct(t, merged, t.sparkSession.createDataFrame([("in_region", "located_in")], "old string, new string"))
 
 
 @query("missing_entities", f"WITH t AS ({STAR_}) SELECT name FROM (SELECT head AS name FROM t UNION SELECT tail FROM t) WHERE name NOT IN (SELECT c_name FROM customer) AND name NOT IN (SELECT n_name FROM nation)")

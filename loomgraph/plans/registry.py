@@ -7,4 +7,4 @@ from loomgraph.plans import graph_queries, text_queries
 MODULES = [graph_queries, text_queries]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.Q.items()}
 ORACLE: dict[str, str] = {k: s for m in MODULES for k, s in m.SQL.items()}
-FLAGSHIP = "khop_paths"
+FLAGSHIP = "khop_paths_star"

@@ -137,3 +137,41 @@ def test_shortest_paths_in_a_loop(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a")], "head string, tail string")
     got = G.shortest_paths(e, e.selectExpr("head AS src"), None).collect()
     assert {(r.src, r.dst): r.len for r in got} == {(a, b): (ord(b) - ord(a)) % 5 for a in "abcde" for b in "abcde"}
+
+
+def ent(name):
+    return "ent-" + hashlib.md5(name.lower().encode()).hexdigest()
+
+
+def test_paths_over_all_relations(spark, star):
+    edges = {(ent(a), r, ent(b)) for a, r, b in star}
+    steps, relations = {}, {}
+    for a, r, b in edges:
+        steps.setdefault(a, set()).add(b)
+        relations.setdefault((a, b), set()).add(r)
+    paths = layer = {(a, b) for a in steps for b in steps[a] if a != b}
+    for _ in range(2):
+        layer = {(*p, x) for p in layer for x in steps.get(p[-1], ()) if x not in p}
+        paths = paths | layer
+    rows = registry.QUERIES["khop_paths_star"](spark, DATA).collect()
+    assert len(rows) == len(paths) and {(r.path, r.len) for r in rows} == {("->".join(p), len(p) - 1) for p in paths}
+    want = Counter(("->".join(p), i, a, r, b) for p in paths for i, (a, b) in enumerate(zip(p, p[1:])) for r in relations[a, b])
+    got = registry.QUERIES["path_relations_star"](spark, DATA).select("path_id", "pos", "head", "relation", "tail").toArrow().to_pydict()
+    assert Counter(zip(*got.values())) == want
+    assert {r for _, _, _, r, _ in want} == {"in_region", "in_nation", "placed_by", "contains", "supplied_by"}
+
+
+def test_rewrites_over_all_relations(spark):
+    rows = [tuple(r) for r in frame(spark, DATA, STAR).select("head", "relation", "tail", "seq").collect()]
+    collect = lambda name, *c: registry.QUERIES[name](spark, DATA).select(*c).toArrow().to_pydict()
+    got = Counter(zip(*collect("node_relations_star", "id", "head", "relation", "tail").values()))
+    assert got == Counter((x, h, r, t) for h, r, t, _ in rows for x in (h, t))
+    nation = dict(duckdb.sql(f"SELECT n_name, 'Nation of ' || r_name FROM '{DATA}/nation.parquet' JOIN '{DATA}/region.parquet' ON n_regionkey = r_regionkey").fetchall())
+    got = Counter(zip(*collect("alias_rewrite_star", "head", "relation", "tail").values()))
+    assert got == Counter((nation.get(h, h), r, nation.get(t, t)) for h, r, t, _ in rows)
+    customers, last = {h for h, *_ in rows if h.startswith("Customer")}, {}
+    for h, r, t, seq in rows:
+        key = tuple("Customer" if x in customers else x for x in (h, t)) + ("located_in" if r == "in_region" else r,)
+        last[key] = max(last.get(key, 0), seq)
+    got = zip(*collect("edge_correction_star", "head", "tail", "relation", "seq").values())
+    assert sorted(got) == sorted((*k, s) for k, s in last.items())
