@@ -55,12 +55,13 @@ def similarity_classes(vectors: DataFrame, threshold: float, key: str = "id", ve
     return ids.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def greedy_dedup(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", enabled: bool = True, max_rounds: int = 1000) -> DataFrame:
+def greedy_dedup(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", enabled: bool = True, max_rounds: int | None = None) -> DataFrame:
     """Ids kept when rows pass in id order and each goes if near one kept before.
 
     By rounds over the pairs: a row whose smaller partners are all decided and none kept is
     kept, and its larger partners go. A round settles every row without an undecided
-    smaller partner, so all chains move at once.
+    smaller partner, so all chains move at once. The smallest of the undecided rows always
+    settles, so rounds go on until none is left; beyond max_rounds, where given, it raises.
     """
     from loomgraph.scratch import materialize
 
@@ -69,13 +70,17 @@ def greedy_dedup(vectors: DataFrame, threshold: float, key: str = "id", vector:
         return ids
     pairs = materialize(cosine_pairs(vectors, threshold, key, vector).select("a", "b"), "pairs")
     gone = None
-    for _ in range(max_rounds):
-        if pairs.isEmpty():
-            break
+    rounds = 0
+    while not pairs.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"rows still undecided after {max_rounds} rounds")
+        rounds += 1
         waiting = pairs.select(F.col("b").alias("id")).distinct()
         free = pairs.select(F.col("a").alias("id")).distinct().join(waiting, "id", "left_anti")
         out = materialize(pairs.join(free, pairs.a == free.id, "left_semi").select(F.col("b").alias("id")).distinct(), "gone")
         gone = out if gone is None else gone.unionByName(out)
+        if rounds % 50 == 0:
+            gone = materialize(gone, "gone")  # a plan of bounded size
         left = pairs.join(out, pairs.a == out.id, "left_anti").join(out, pairs.b == out.id, "left_anti").join(free, pairs.a == free.id, "left_anti")
         pairs = materialize(left, "pairs")
     return ids if gone is None else ids.join(gone, "id", "left_anti")

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 from loomgraph.operators import graph as G
+from loomgraph.operators import similarity as SI
 from loomgraph.operators import traces as TR
 from loomgraph.plans import registry
 from loomgraph.plans.fixtures import STAR, frame
@@ -175,3 +176,14 @@ def test_rewrites_over_all_relations(spark):
         last[key] = max(last.get(key, 0), seq)
     got = zip(*collect("edge_correction_star", "head", "tail", "relation", "seq").values())
     assert sorted(got) == sorted((*k, s) for k, s in last.items())
+
+
+def test_greedy_dedup_leaves_no_row_undecided(spark):
+    import math
+
+    rows = [(i, [math.cos(i * math.pi / 18), math.sin(i * math.pi / 18)]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    threshold = math.cos(math.pi / 15)
+    assert sorted(r.id for r in SI.greedy_dedup(vectors, threshold).collect()) == [0, 2, 4, 6, 8]
+    with pytest.raises(RuntimeError):
+        SI.greedy_dedup(vectors, threshold, max_rounds=2)
