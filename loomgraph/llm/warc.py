@@ -59,7 +59,10 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
         head.append("WARC-Target-URI: " + "".join(c if " " < c else f"%{ord(c):02X}" for c in url))
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID}{refers_to}>"]
-    return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    data = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+    if len(data) >= MOST_RECORD:
+        raise ValueError(f"page {page_id}: a record of {len(data)} bytes, which readers take for a damaged one")
+    return data
 
 
 def member(data: bytes) -> bytes:

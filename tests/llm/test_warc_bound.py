@@ -1,0 +1,11 @@
+import pytest
+
+from loomgraph.llm import warc
+
+
+def test_writer_refuses_what_the_reader_would_not_take(monkeypatch):
+    whole = warc.record(1, "u", b"x" * 1000, "d", None)
+    monkeypatch.setattr(warc, "MOST_RECORD", len(whole) + 1)
+    assert warc.record(1, "u", b"x" * 1000, "d", None) == whole
+    with pytest.raises(ValueError, match="page 2"):
+        warc.record(2, "u", b"x" * 1001, "d", None)
