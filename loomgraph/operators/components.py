@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.scratch import materialize
+from loomgraph.scratch import drop, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     state = _state(e)
     if state[0]:
         for _ in range(max_rounds):
-            e = materialize(_small_star(_large_star(e)), "edges")
+            last, e = e, materialize(_small_star(_large_star(e)), "edges")
+            drop(last)
             now = _state(e)
             if now == state:
                 break

@@ -1,23 +1,24 @@
 """Places for intermediate tables that every executor and the driver can read.
 
 Everything goes below the folder that the cluster names in ``spark.checkpoint.dir``.
-Only where that setting is absent or still Spark's machine-local default (as in tests)
-is a folder of our own chosen.
+Only where that setting is absent or still Spark's machine-local default, and the master
+is local (as in tests), is a folder of our own chosen; on a cluster that is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; sets a checkpoint folder where the session has none."""
+    """URI of the shared folder; sets a checkpoint folder where a local session has none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         if not spark.sparkContext.getCheckpointDir():
@@ -25,19 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("a cluster has to name a folder that all machines share in spark.checkpoint.dir")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgraph-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; removed when the driver ends."""
+    """A new path below the shared folder; removed by drop() or when the driver ends."""
     path = f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _made[path] = spark
     return path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
+    _made.pop(path, None)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -51,14 +56,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables of materialize() that no plan still to run reads."""
+    for t in tables:
+        path = getattr(t, "scratch_path", None)
+        if path in _made:
+            drop_path(t.sparkSession, path)
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _made:
+    for path, spark in list(_made.items()):
         try:
             if spark.sparkContext._jsc is not None:
                 drop_path(spark, path)
+            elif path.startswith("file:"):  # after spark.stop() local folders still go
+                shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
         except Exception:  # the JVM may be gone: the cluster's own retention applies
             pass
