@@ -1,25 +1,29 @@
 """N-gram Jaccard self-join with token-combination prefixes, and its connected classes.
 
-A document is its set of word shingles (64-bit hashes). Shingles fall into two classes by
-how often the corpus holds them: rare ones, ordered first, index alone; frequent ones fall
-into subclasses by hash and index as pairs within a subclass. A prefix takes shingles in
-that order until the combinations left by any ``tau`` missing shingles cannot be none:
-rare ones count one each, a subclass of m counts m - 1. tau is the most shingles of a set
-that a partner can lack, so two linked sets share an indexed token or pair. The class
-function changes cost only, never results.
+A document is its set of word shingles (64-bit hashes), ordered: tokens of the rare class
+first, by hash, then those of the frequent class. A prefix takes tokens in that order until
+the combinations left by any ``tau`` missing tokens cannot be none: rare ones index alone
+and count one each; frequent ones fall into subclasses by hash and index as pairs within a
+subclass, a subclass of m counting m - 1. tau is the most tokens of a set that a partner
+can lack, so two linked sets share an indexed token or pair. The class function changes
+cost only, never results.
 
-Then, without gathering any group:
+Without gathering any group on a driver, or a hot one in a task:
 
 1. Documents with equal sets become one representative.
-2. Index entries of equal member sets become one. Groups of up to SMALL members give all
-   their pairs, larger ones a star: every member with the member of fewest rare shingles.
-   Sizes and parity maps (a lower bound of the sets' difference) rule out most of them;
-   the others are verified on the whole texts.
-3. Large groups that the links so far leave in several components are dealt out in blocks
+2. Every representative's prefix is indexed with all tokens counted as rare. Entries travel
+   as arrays dealt by token; a token that a stretch of entries holds often is sent past
+   the deal, with one mark (of size 0) in it. Groups of up to SMALL members give their pairs.
+3. Tokens of larger groups, the MOST largest of them, become the frequent class, and only
+   documents with such a token are indexed again: two linked sets whose first common token
+   has a small group have met already, else both are here. After ROUNDS of this, larger
+   groups give a star: every member with the member of fewest rare tokens.
+4. Sizes and parity maps (a lower bound of the sets' difference) rule out most pairs; the
+   others are verified on the whole texts, with two independent hashes of every word.
+5. Large groups that the links so far leave in several components are dealt out in blocks
    of members outside the star's component against all members, with the same bounds as
-   arrays; two sets of a pair's group that share no rare shingle overlap in frequent ones
-   at most. What is left is verified like the others.
-4. Links give components; copies follow their representative.
+   arrays, and verified likewise.
+6. Links give components; copies follow their representative.
 
 Defined results: null text has no shingles, and an empty set links with nothing; a text of
 fewer words than the width is one shingle; null keys are dropped; repeated rows each give
@@ -38,59 +42,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import slabs, string_buffers
-from loomgraph.llm.idfilter import keep_listed
+from loomgraph.llm.idfilter import bitmap, holds, keep_listed, place
 from loomgraph.llm.perfect_hash import mix
 from loomgraph.llm.texthash import SPACE, chain, shingle_rows, words
 from loomgraph.operators.components import connected_components
-from loomgraph.scratch import materialize
+from loomgraph.scratch import drop, materialize
 
 SMALL = 8
+ROUNDS = 3
 BLOCK = 256
 VERIFY_BYTES = 4 << 20
-SHARED_CALL = 20_000
-#: A shingle is frequent if some stretch of CHUNK shingles holds it LOCAL times and all such
-#: stretches together FREQUENT times; the most frequent MOST of them are sent to the workers.
-CHUNK, LOCAL, FREQUENT, MOST = 1 << 20, 3, 24, 1 << 17
+SHARED_CALL = 2_000
+#: Entries that a task deals out at a time, and that a task of the other side takes.
+DEALT, TAKEN = 1 << 18, 1 << 19
+#: Tokens of the frequent class, 8 bytes each, that are sent to the workers.
+MOST = 1 << 20
+#: A pair's entry has this bit, a single token's has not: it is the token without its last bit.
+PAIR = np.uint64(1 << 63)
 
 
-def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
-    """Sorted hashes of the frequent class, at most MOST; counts cover every text."""
-
-    def count(batches):
-        held, size, found = [], 0, []
-
-        def settle():
-            token, n = np.unique(np.concatenate(held), return_counts=True)
-            found.append((token[n >= LOCAL], n[n >= LOCAL]))
-            held.clear()
-
-        for b in batches:
-            data, offsets = string_buffers(b.column(0))
-            for _, _, part, own in slabs(data, offsets):
-                _, _, row, h = words(part, own, SPACE)
-                runs = chain(h, width)
-                if len(runs):
-                    runs = runs[row[: len(runs)] == row[width - 1 :]]
-                    held.append(runs)
-                    size += len(runs)
-                if size > CHUNK:
-                    settle()
-                    size = 0
-        if held:
-            settle()
-        if found:
-            token, at = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-            n = np.bincount(at, np.concatenate([n for _, n in found]), len(token)).astype(np.int64)
-            for i in range(0, len(token), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(token[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000])], names=["token", "n"])
-
-    summed = texts.mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    top = summed.orderBy(F.desc("n"), "token").limit(MOST).select("token").toArrow()
-    return np.sort(top.column("token").to_numpy().view(np.uint64))
+def single(tokens: np.ndarray) -> np.ndarray:
+    return tokens >> np.uint64(1)
 
 
 class Prefix:
     def __init__(self, frequent: np.ndarray, num: int, den: int):
+        """frequent: sorted entries of the tokens of the frequent class."""
         if 10 * num < 6 * den or num >= den:
             raise ValueError("the threshold is to be from 0.6 to below 1")
         self.frequent, self.num, self.den = frequent, num, den
@@ -98,31 +75,30 @@ class Prefix:
     def _subclasses(self, level: int) -> int:
         return max(1, (self.den - self.num) * (1 << level) // self.den // 2)
 
-    def entries(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(single rare shingles, pairs of frequent ones, number of rare ones) of a sorted set."""
+    def entries(self, u: np.ndarray) -> tuple[np.ndarray, int]:
+        """(index entries, number of rare tokens) of a sorted set."""
         n, num, den = len(u), self.num, self.den
-        none = np.zeros(0, np.uint64)
+        tokens = single(u)
         if len(self.frequent):
-            at = np.minimum(np.searchsorted(self.frequent, u), len(self.frequent) - 1)
-            often = self.frequent[at] == u
+            at = np.minimum(np.searchsorted(self.frequent, tokens), len(self.frequent) - 1)
+            often = self.frequent[at] == tokens
         else:
             often = np.zeros(n, bool)
-        rare = u[~often]
+        rare = tokens[~often]
         if n * (den - num) < num:  # no other set can be near enough
-            return none, none, len(rare)
+            return np.zeros(0, np.uint64), len(rare)
         need = (den - num) * n // den + 1
         if len(rare) >= need:
-            return rare[:need], none, len(rare)
+            return rare[:need], len(rare)
         common, need = u[often], need - len(rare)
-        pairs = []
+        found = [rare]
         for level in {(-(-num * n // den)).bit_length() - 1, n.bit_length() - 1}:  # its own, and that of smaller partners
             sub = (mix(common, 11) % np.uint64(self._subclasses(level))).astype(np.int64)
             first = np.zeros(len(sub), bool)
             first[np.unique(sub, return_index=True)[1]] = True
             left = np.arange(1, len(sub) + 1) - np.cumsum(first)
-            m = int(np.searchsorted(left, need)) + 1
-            if m > len(common):
-                raise AssertionError("prefix longer than its set")
+            # never beyond the set: at 0.6 or more the subclasses and tau + 1 together are at most n
+            m = min(int(np.searchsorted(left, need)) + 1, len(common))
             order = np.argsort(sub[:m], kind="stable")
             s, t = sub[order], common[order]
             for step in range(1, m):
@@ -130,8 +106,8 @@ class Prefix:
                 if not same.any():
                     break
                 a, b = t[:-step][same], t[step:][same]
-                pairs.append(mix(mix(np.minimum(a, b), 20) ^ (np.maximum(a, b) + np.uint64(level)), 21))
-        return rare, np.concatenate(pairs) if pairs else none, len(rare)
+                found.append(mix(mix(np.minimum(a, b), 20) ^ (np.maximum(a, b) + np.uint64(level)), 21) | PAIR)
+        return np.concatenate(found), len(rare)
 
 
 #: Fewest bits of the parity map of a set: bit b is the parity of the number of its shingles
@@ -139,7 +115,8 @@ class Prefix:
 #: shingles. A map has more bits than its set has shingles, so it never fills up; the halves
 #: of a larger map xor to the smaller one.
 PARITY_BITS = 10
-SETS = "doc_id long, n long, rare long, digest binary, parity binary, singles array<long>, pairs array<long>"
+def digest_of(u: np.ndarray) -> bytes:
+    return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
 
 
 def parity(u: np.ndarray) -> bytes:
@@ -167,34 +144,172 @@ def map_difference(x: bytes, y: bytes) -> int:
     return (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
 
 
+SETS = "doc_id long, n long, digest binary, parity binary, entries binary"
+INDEXED = "doc_id long, n long, rare long, entries binary, digest binary"
+
+
 def indexed_sets(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Per document (doc_id, text in): size, number of rare shingles, digest of the set, index entries."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts.select("text"), width))
+    """Per document (doc_id, text in): size, digest and parity map of the set, entries with all tokens rare."""
 
     def index(batches):
-        prefix = Prefix(sent.value, num, den)
+        prefix = Prefix(np.zeros(0, np.uint64), num, den)
         for b in batches:
             data, offsets = string_buffers(b.column(1))
             for i, j, part, own in slabs(data, offsets):
                 _, _, row, h = words(part, own, SPACE)
-                made = []
-                for u in shingle_rows(h, row, j - i, width):
-                    single, pair, rare = prefix.entries(u)
-                    made.append((len(u), rare, hashlib.blake2b(u.tobytes(), digest_size=16).digest(), parity(u), single.view(np.int64), pair.view(np.int64)))
-                n, rare, digest, odd, single, pair = zip(*made)
+                made = [
+                    (len(u), digest_of(u), parity(u), prefix.entries(u)[0].tobytes())
+                    for u in shingle_rows(h, row, j - i, width)
+                ]
+                n, digest, odd, entries = zip(*made)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary()),
-                    pa.array(single, pa.list_(pa.int64())), pa.array(pair, pa.list_(pa.int64())),
+                    b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary()), pa.array(entries, pa.binary()),
                 ], names=[c.split()[0] for c in SETS.split(", ")])
 
     return texts.mapInArrow(index, SETS)
 
 
-def sets_of(texts: list[str], width: int) -> list[np.ndarray]:
+def indexed_again(texts: DataFrame, wanted: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, rare, entries, digest) of the wanted documents (column id) under a frequent class."""
+    sent = texts.sparkSession.sparkContext.broadcast(frequent)
+    made = bitmap(wanted)
+    listed = texts.sparkSession.sparkContext.broadcast(made[0]) if made else None
+    rows = texts.select("doc_id", "text", place("doc_id", made[1]) if made else F.lit(0).cast("long"))
+
+    def index(batches):
+        prefix = Prefix(sent.value, num, den)
+        for b in batches:
+            if listed is not None:
+                b = b.filter(pa.array(holds(listed.value, b.column(2).to_numpy())))
+            data, offsets = string_buffers(b.column(1))
+            for i, j, part, own in slabs(data, offsets):
+                _, _, row, h = words(part, own, SPACE)
+                n, rare, entries, digest = [], [], [], []
+                for u in shingle_rows(h, row, j - i, width):
+                    sig, few = prefix.entries(u)
+                    n.append(len(u))
+                    rare.append(few)
+                    entries.append(sig.tobytes())
+                    digest.append(digest_of(u))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(rare, pa.int64()), pa.array(entries, pa.binary()), pa.array(digest, pa.binary())],
+                    names=[c.split()[0] for c in INDEXED.split(", ")],
+                )
+
+    found = rows.mapInArrow(index, INDEXED)
+    return found.where("octet_length(entries) > 0").join(wanted, found.doc_id == wanted.id, "left_semi")
+
+
+#: What a task of the dealt entries finds: pairs (a, b) of small groups, or entries (token, document) of large ones.
+PAIRS, LARGE = 0, 1
+
+
+def _runs(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins of equal neighbours, and their lengths."""
+    begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(sig)))
+
+
+def _cuts(values: np.ndarray, raw: np.ndarray) -> list[bytes]:
+    data, at = raw.tobytes(), (np.append(values, len(raw)) * raw.itemsize).tolist()
+    return [data[x:y] for x, y in zip(at[:-1], at[1:])]
+
+
+def meetings(indexed: DataFrame, total: int, num: int, den: int) -> DataFrame:
+    """(kind, x, y) of about ``total`` index entries: PAIRS of small groups that sizes allow, and LARGE groups' entries."""
+    parts = max(8, -(-total // TAKEN))
+    places = np.uint64(8 * parts)
+
+    def deal(batches):
+        docs, sizes, sigs, held = [], [], [], 0
+
+        def settle():
+            sig = np.frombuffer(b"".join(sigs), np.uint64)
+            many = np.fromiter(map(len, sigs), np.int64, len(sigs)) // 8
+            doc, n = np.repeat(np.concatenate(docs), many), np.repeat(np.concatenate(sizes), many)
+            order = np.argsort(sig, kind="stable")
+            sig, doc, n = sig[order], doc[order], n[order]
+            begin, length = _runs(sig)
+            hot = np.repeat(length > SMALL, length)
+            if hot.any():
+                marks = sig[begin[length > SMALL]]
+                for k in range(0, int(hot.sum()), 1 << 15):
+                    own = slice(k, k + (1 << 15))
+                    s, d = sig[hot][own], doc[hot][own]
+                    yield [int(mix(s[:1] ^ d[:1].view(np.uint64), 31)[0] % places)], [True], [s.tobytes()], [d.tobytes()], [b""]
+                sig = np.concatenate([sig[~hot], marks])
+                doc = np.concatenate([doc[~hot], np.zeros(len(marks), np.int64)])
+                n = np.concatenate([n[~hot], np.zeros(len(marks), np.int32)])
+            to = (mix(sig, 30) % places).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            to, sig, doc, n = to[order], sig[order], doc[order], n[order]
+            begin, _ = _runs(to)
+            yield to[begin].tolist(), [False] * len(begin), _cuts(begin, sig), _cuts(begin, doc), _cuts(begin, n)
+
+        def rows():
+            for p, hot, s, d, n in settle():
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(hot), *(pa.array(c, pa.binary()) for c in (s, d, n))], names=["place", "hot", "sig", "doc", "n"])
+
+        for b in batches:
+            doc, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int32)
+            for i, e in enumerate(b.column(2)):
+                sigs.append(e.as_buffer())
+                docs.append(doc[i : i + 1])
+                sizes.append(n[i : i + 1])
+                held += len(sigs[-1]) // 8
+                if held >= DEALT:
+                    yield from rows()
+                    docs, sizes, sigs, held = [], [], [], 0
+        if held:
+            yield from rows()
+
+    def take(batches):
+        sigs, docs, sizes = [], [], []
+
+        def out(kind, x, y):
+            for k in range(0, len(x), 50_000):
+                left, right = x[k : k + 50_000].view(np.int64), y[k : k + 50_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(left), kind, np.int32)), pa.array(left), pa.array(right)], names=["kind", "x", "y"])
+
+        for b in batches:
+            for hot, s, d, n in zip(b.column(1).to_pylist(), b.column(2), b.column(3), b.column(4)):
+                s, d = np.frombuffer(s.as_buffer(), np.uint64), np.frombuffer(d.as_buffer(), np.int64)
+                if hot:
+                    yield from out(LARGE, s, d)
+                else:
+                    sigs.append(s.copy())
+                    docs.append(d.copy())
+                    sizes.append(np.frombuffer(n.as_buffer(), np.int32).copy())
+        if not sigs:
+            return
+        sig, doc, n = np.concatenate(sigs), np.concatenate(docs), np.concatenate(sizes)
+        del sigs, docs, sizes
+        order = np.argsort(sig, kind="stable")
+        sig, doc, n = sig[order], doc[order], n[order].astype(np.int64)
+        begin, length = _runs(sig)
+        big = np.logical_or.reduceat(n == 0, begin) | (length > SMALL)
+        if big.any():
+            at = np.repeat(big, length) & (n > 0)
+            yield from out(LARGE, sig[at], doc[at])
+        few = np.repeat(~big & (length > 1), length)
+        sig, doc, n = sig[few], doc[few], n[few]
+        found = []
+        for step in range(1, SMALL):
+            a, b = slice(None, -step), slice(step, None)
+            ok = (sig[a] == sig[b]) & (np.minimum(n[a], n[b]) * den >= np.maximum(n[a], n[b]) * num) & (doc[a] != doc[b])
+            found.append(np.stack([np.minimum(doc[a][ok], doc[b][ok]), np.maximum(doc[a][ok], doc[b][ok])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        yield from out(PAIRS, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
+
+    dealt = indexed.select("doc_id", "n", "entries").mapInArrow(deal, "place int, hot boolean, sig binary, doc binary, n binary")
+    return dealt.repartition(parts, "place").mapInArrow(take, "kind int, x long, y long")
+
+
+def sets_of(texts: list[str], width: int, seed: int = 3) -> list[np.ndarray]:
     data, offsets = string_buffers(pa.array(texts, pa.large_string()))
     out: list[np.ndarray] = []
     for i, j, part, own in slabs(data, offsets):
-        _, _, row, h = words(part, own, SPACE)
+        _, _, row, h = words(part, own, SPACE, seed=seed)
         out += shingle_rows(h, row, j - i, width)
     return out
 
@@ -231,12 +346,13 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
                 c = b.slice(k, stop - k)
                 ids_a, ids_b, ta, tb = (c.column(i).to_pylist() for i in range(4))
                 distinct = {t: i for i, t in enumerate(dict.fromkeys(ta + tb))}
-                sets = sets_of(list(distinct), width)
-                keep = []
-                for i, (x, y) in enumerate(zip(ta, tb)):
-                    x, y = sets[distinct[x]], sets[distinct[y]]
-                    if linked(min(len(x), len(y)), len(x), len(y), num, den) and linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den):
-                        keep.append(i)
+                ok = np.ones(len(ids_a), bool)
+                for seed in (3, 4):
+                    sets = sets_of(list(distinct), width, seed)
+                    for i in np.flatnonzero(ok).tolist():
+                        x, y = sets[distinct[ta[i]]], sets[distinct[tb[i]]]
+                        ok[i] = linked(min(len(x), len(y)), len(x), len(y), num, den) and linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), num, den)
+                keep = np.flatnonzero(ok).tolist()
                 if keep:
                     yield pa.RecordBatch.from_arrays([pa.array([ids_a[i] for i in keep], pa.int64()), pa.array([ids_b[i] for i in keep], pa.int64())], names=["a", "b"])
 
@@ -244,17 +360,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
     return joined.mapInArrow(verify, "a long, b long")
 
 
-def _could(a: str, b: str, num: int, den: int) -> str:
-    """SQL: sets of these sizes can be near enough; sets that meet in a pair of frequent shingles overlap in frequent ones only, or meet in a rare one too."""
-    size = f"least({a}.n, {b}.n) * {den} >= greatest({a}.n, {b}.n) * {num}"
-    return f"({size} AND (NOT {a}.pair OR least({a}.n - {a}.rare, {b}.n - {b}.rare) * {num + den} >= ({a}.n + {b}.n) * {num}))"
-
-
 def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """Whole texts of the documents in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = materialize(wanted, "wanted")
-    return materialize(keep_listed(rows, "doc_id", wanted).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    out = materialize(keep_listed(rows, "doc_id", wanted).join(wanted, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
+    drop(wanted)
+    return out
 
 
 def block_candidates(table: pa.Table, num: int, den: int) -> pa.Table:
@@ -284,12 +395,11 @@ def block_candidates(table: pa.Table, num: int, den: int) -> pa.Table:
     return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
-def _across_blocks(groups: DataFrame, links: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+def _across_blocks(groups: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
     """Further candidates in large groups whose members are in several components so far.
 
     A pair of blocks is one call of at most 2 * BLOCK members; small groups share calls.
     """
-    comps = materialize(connected_components(links), "components")
     own = groups.join(comps, groups.doc_id == comps.id, "left").select(groups["*"], F.coalesce("component", "doc_id").alias("comp"))
     own = materialize(own, "grouped")
     open_ = own.groupBy("sig").agg(
@@ -324,41 +434,75 @@ def _across_blocks(groups: DataFrame, links: DataFrame, sets: DataFrame, num: in
     return rows.groupBy("call").applyInArrow(run, "a long, b long").distinct()
 
 
+def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows whose (doc_id, digest) is not in others (other, own); only rows that a bitmap cannot tell apart are shuffled."""
+    test = (F.col("doc_id") == F.col("other")) & (F.col("digest") == F.col("own"))
+    made = bitmap(others.select("other"))
+    if made is None:
+        return rows.join(others, test, "left_anti")
+    sent = rows.sparkSession.sparkContext.broadcast(made[0])
+    names = rows.columns
+
+    def outside(batches):
+        for b in batches:
+            out = b.filter(pa.array(~holds(sent.value, b.column(len(names)).to_numpy())))
+            if out.num_rows:
+                yield pa.RecordBatch.from_arrays(out.columns[: len(names)], names=names)
+
+    apart = rows.withColumn("idfilter_place", place("doc_id", made[1])).mapInArrow(outside, rows.schema)
+    return apart.unionByName(keep_listed(rows, "doc_id", others.select("other")).join(others, test, "left_anti"))
+
+
 def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
     sets = materialize(indexed_sets(rows, width, num, den), "sets")
-    representatives = materialize(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("representative")), "representatives")
-    members = sets.select("doc_id", "n", "digest").join(representatives, "digest", "left")
-    members = materialize(members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("representative")).otherwise(F.col("doc_id")).alias("representative")), "members")
-    indexed = sets.where("size(singles) + size(pairs) > 0").join(representatives, F.col("doc_id") == F.col("representative"), "left_semi").drop("digest")
-    indexed = materialize(indexed, "indexed")
-    single = indexed.select(F.explode("singles").alias("sig"), "doc_id", "n", "rare", F.lit(False).alias("pair"))
-    entries = single.unionByName(indexed.select(F.explode("pairs").alias("sig"), "doc_id", "n", "rare", F.lit(True).alias("pair")))
-    groups = entries.groupBy("sig").agg(
-        F.count("*").alias("members"), F.min(F.struct("rare", "doc_id")).alias("lead"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"), F.bool_and("pair").alias("all_pairs"),
-    ).where("members > 1 and low < high")
-    # entries with the same members say the same; one without the pairs' size rule says more
-    groups = groups.groupBy("members", "lead", "low", "high", "x", "y").agg(F.min(F.struct("all_pairs", "sig"))["sig"].alias("sig"))
-    groups = materialize(groups.select("sig", "members", F.col("lead.doc_id").alias("star"), F.col("lead.rare").alias("star_rare"), "low", "high"), "groups")
-    of_two = groups.where("members = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    larger = groups.where("members > 2").select("sig", "members", "star")
-    grouped = materialize(keep_listed(entries, "sig", larger.select("sig")).join(larger, "sig"), "grouped-entries")
-    small = grouped.where(f"members <= {SMALL}").select("sig", "doc_id", "n", "rare", "pair")
-    in_small = small.alias("l").join(small.alias("r"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.doc_id") < F.col("r.doc_id")) & F.expr(_could("l", "r", num, den)))
-    in_small = in_small.select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b"))
-    large = grouped.where(f"members > {SMALL}")
-    stars = large.where("doc_id <> star").select(F.col("star").alias("a"), F.col("doc_id").alias("b"))
-    ordered = of_two.unionByName(in_small).unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(ordered.distinct(), "pairs")
-    pairs = materialize(possible(pairs, indexed, num, den), "candidates")
-    links = materialize(verified(pairs, _texts(rows, pairs), width, num, den), "links")
-    more = _across_blocks(large.select("sig", "doc_id", "n", "rare", "pair"), links, indexed, num, den)
-    if more is not None:
-        more = materialize(more, "block-candidates")
-        links = links.unionByName(materialize(verified(more, _texts(rows, more), width, num, den), "block-links"))
+    several = sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies"))
+    several = materialize(several.where("copies > 1").drop("copies"), "several")  # a set held once is its own representative
+    members = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(several, "digest", "left")
+    members = materialize(members.withColumn("representative", F.coalesce("representative", "doc_id")), "members")
+    others = materialize(members.where("doc_id <> representative").select(F.col("doc_id").alias("other"), F.col("digest").alias("own")).distinct(), "others")
+    indexed = _without(sets.select("doc_id", "n", F.col("n").alias("rare"), "entries", "digest").where("octet_length(entries) > 0"), others).drop("digest")
+    met, frequent, source = [], np.zeros(0, np.uint64), sets
+    for turn in range(ROUNDS):
+        total = source.agg(F.coalesce(F.sum(F.octet_length("entries")), F.lit(0))).first()[0] // 8
+        met.append(materialize(meetings(indexed, total, num, den), "met"))
+        large = met[-1].where(f"kind = {LARGE}").select(F.col("x").alias("sig"), F.col("y").alias("doc_id"))
+        if turn == ROUNDS - 1:
+            break
+        counts = large.where("sig >= 0").groupBy("sig").agg(F.count("*").alias("members"))
+        found = counts.orderBy(F.desc("members"), "sig").limit(MOST - len(frequent)).select("sig").toArrow()
+        if not found.num_rows:
+            break
+        frequent = np.union1d(frequent, found.column("sig").to_numpy().view(np.uint64))
+        wanted = materialize(large.select(F.col("doc_id").alias("id")).distinct(), "wanted")
+        again = materialize(_without(indexed_again(rows, wanted, frequent, width, num, den), others).drop("digest"), "indexed")
+        drop(wanted, indexed)
+        indexed = source = again
+    pairs = met[0].where(f"kind = {PAIRS}").select("x", "y")
+    for m in met[1:]:
+        pairs = pairs.unionByName(m.where(f"kind = {PAIRS}").select("x", "y"))
+    pairs = pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    large = large.join(indexed.select("doc_id", "n", "rare"), "doc_id").withColumn("pair", F.col("sig") < 0)
+    large = materialize(large.select("sig", "doc_id", "n", "rare", "pair"), "large")
+    leads = large.groupBy("sig").agg(F.min_by("doc_id", F.struct("rare", "doc_id")).alias("star"))
+    stars = large.join(leads, "sig").where("doc_id <> star").select(F.least("star", "doc_id").alias("a"), F.greatest("star", "doc_id").alias("b"))
+    maps = sets.select("doc_id", "n", "parity")
+    candidates = materialize(possible(pairs.unionByName(stars).distinct(), maps, num, den), "candidates")
+    drop(*met, indexed, several, others)
+    texts = _texts(rows, candidates)
+    links = materialize(verified(candidates, texts, width, num, den), "links")
+    drop(candidates, texts)
     comps = materialize(connected_components(links), "components")
+    more = _across_blocks(large, comps, maps, num, den)
+    if more is not None:
+        candidates = materialize(more, "candidates")
+        texts = _texts(rows, candidates)
+        further = materialize(verified(candidates, texts, width, num, den), "links")
+        drop(candidates, texts)
+        comps = materialize(connected_components(links.unionByName(further)), "components")
+        drop(further)
+    drop(large, sets, links)
     out = members.join(comps, members.representative == comps.id, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
 

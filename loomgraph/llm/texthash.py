@@ -1,19 +1,21 @@
 """Words of many texts at once, each as a 64-bit hash, with numpy over the raw bytes.
 
-A word's hash is a polynomial over random byte values modulo 2^64, from running sums,
-then mixed. The tables come from fixed seeds, so every worker makes equal hashes.
+A word is read in lanes of eight bytes, each mixed into the hash of those before it, so
+words of one length up to eight bytes never share a hash and others do by chance only;
+longer words than LONG bytes go through blake2b. Seeds are fixed, so every worker makes
+equal hashes; another seed gives an independent hash of the same words.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import hashlib
 
 import numpy as np
 
 from loomgraph.llm.perfect_hash import mix
 
 BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+LONG = 64
 #: Words are what lies between these bytes.
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Words are made of digits, letters a-z and all that is not ASCII; case is folded before.
@@ -21,30 +23,33 @@ NOT_ALNUM = np.array([b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F for b i
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-@lru_cache(maxsize=1)
-def byte_values() -> np.ndarray:
-    values = mix(np.arange(256, dtype=np.uint64), 7)
-    return values[FOLD]  # the values of folded bytes
-
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.empty(max(n, 1 << 16), np.uint64)
-        have[0], have[1:] = 1, np.uint64(base)
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+def lane_hashes(folded: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the byte runs [begin, end) of ``folded``."""
+    padded = np.concatenate([folded, np.zeros(8, np.uint8)])
+    lanes = np.ndarray(len(folded) + 1, "<u8", padded, strides=(1,))
+    left = end - begin
+    out = mix(left.astype(np.uint64), seed)
+    at, own = begin, np.flatnonzero(left <= LONG)
+    if len(own) < len(begin):
+        key = seed.to_bytes(8, "little")
+        for i in np.flatnonzero(left > LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(folded[begin[i] : end[i]].tobytes(), digest_size=8, key=key).digest(), "little")
+        at, left = begin[own], left[own]
+    while len(own):
+        short = np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64)
+        out[own] = mix(out[own] ^ ((lanes[at] << short) >> short), seed + 1)
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    return out
 
 
-def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, hashed: bool = True):
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, hashed: bool = True, seed: int = 3):
     """(begin, end, row) of each word of the slab, and its hash; begin and end in slab bytes.
 
     separators: 256 booleans over folded bytes; no word crosses a row's end.
     """
-    sep = separators[FOLD][data]
+    folded = FOLD[data]
+    sep = separators[folded]
     first = np.ones(len(data), bool)
     first[1:] = sep[:-1]
     inner = offsets[1:-1]
@@ -59,11 +64,7 @@ def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, hashed:
     row = np.searchsorted(offsets, begin, side="right") - 1
     if not hashed:
         return begin, end, row, None
-    # summed in place of words only: separators add nothing that is read
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(byte_values()[data] * powers(BASE, len(data)), out=sums[1:])
-    h = (sums[end] - sums[begin]) * powers(INVERSE, len(data) + 1)[begin]
-    return begin, end, row, mix(h + (end - begin).astype(np.uint64), 3)
+    return begin, end, row, lane_hashes(folded, begin, end, seed)
 
 
 def chain(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -47,10 +47,12 @@ def corpus(seed, n_bases=6, copies=60):
     return rows
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 90, 100), (5, 80, 100)])
-def test_equals_brute_force(spark, monkeypatch, width, num, den):
-    monkeypatch.setattr(J, "FREQUENT", 4)
+@pytest.mark.parametrize(("width", "num", "den", "rounds"), [(3, 90, 100, 3), (5, 80, 100, 2), (5, 80, 100, 1)])
+def test_equals_brute_force(spark, monkeypatch, width, num, den, rounds):
+    monkeypatch.setattr(J, "ROUNDS", rounds)
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "DEALT", 500)
+    monkeypatch.setattr(J, "TAKEN", 900)
     rows = corpus(num)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("none", "none").selectExpr("doc_id", "text", "'x' AS digest", "1 AS sig", "2 AS component")
     got = sorted(tuple(r) for r in J.similarity_classes(docs.repartition(3), width, num, den).collect())
@@ -71,3 +73,21 @@ def test_thresholds_out_of_range():
     for num in (50, 100):
         with pytest.raises(ValueError):
             J.Prefix(np.zeros(0, np.uint64), num, 100)
+
+
+def thue_morse(n, first, second):
+    return "".join(second if bin(i).count("1") % 2 else first for i in range(n))
+
+
+def test_words_that_a_polynomial_would_confuse(spark):
+    rest = " and the same words after it on both sides"
+    docs = spark.createDataFrame([(1, thue_morse(2048, "a", "b") + rest), (2, thue_morse(2048, "b", "a") + rest)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in J.similarity_classes(docs, 3, 90, 100).collect())
+    assert got == [(1, 8, 1), (2, 8, 2)]
+
+
+def test_one_id_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(3, one), (7, two), (7, one), (9, two)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in J.similarity_classes(docs, 3, 90, 100).collect())
+    assert got == [(3, 38, 3), (7, 38, 3), (7, 38, 7), (9, 38, 7)]
