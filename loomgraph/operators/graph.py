@@ -51,12 +51,20 @@ def neighbours(edges: DataFrame, mode: str = "all", distinct: bool = True) -> Da
     return both.distinct() if distinct else both
 
 
-def typed_neighbours(edges: DataFrame, nodes: DataFrame, mode: str = "all", types: list[str] | None = None) -> DataFrame:
-    """(id, neighbour, type), of the wanted types."""
-    kinds = nodes.select(F.col("id").alias("neighbour"), "type")
+def typed_neighbours(
+    edges: DataFrame, nodes: DataFrame, mode: str = "all", types: list[str] | None = None, has: dict[str, str] | None = None, distinct: bool = True
+) -> DataFrame:
+    """(id, neighbour, type), of the wanted types; ``has``: of a type only nodes that carry this attribute, not null and not empty.
+
+    distinct=False keeps a neighbour along and against an edge as two (a bag).
+    """
+    kinds = nodes
     if types:
         kinds = kinds.where(F.col("type").isin(types))
-    return neighbours(edges, mode).join(kinds, "neighbour").select("id", "neighbour", "type")
+    for kind, column in (has or {}).items():
+        kinds = kinds.where((F.col("type") != kind) | (F.coalesce(F.length(F.col(column).cast("string")), F.lit(0)) > 0))
+    kinds = kinds.select(F.col("id").alias("neighbour"), "type")
+    return neighbours(edges, mode, distinct).join(kinds, "neighbour").select("id", "neighbour", "type")
 
 
 def neighbour_types(edges: DataFrame, nodes: DataFrame, mode: str = "all") -> DataFrame:
@@ -80,6 +88,19 @@ def node_relations(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("head", "tail")).alias("id"), "head", "relation", "tail")
 
 
+def node_attributes(nodes: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """(id, attributes): a map column -> value of the wanted ids; empty for ids that no node has. Null values are left out."""
+    pairs = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("k"), F.col(c).cast("string").alias("v")) for c in columns)), lambda e: e["v"].isNotNull()))
+    known = nodes.select("id", pairs.alias("attributes"))
+    return wanted.select("id").distinct().join(known, "id", "left").withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+
+
+def all_relations(edges: DataFrame, as_json: bool = False) -> DataFrame:
+    """Every edge as (head, relation, tail, desc), or as one JSON object each."""
+    rows = edges.select("head", "relation", "tail", F.coalesce("desc", F.lit("")).alias("desc") if "desc" in edges.columns else F.lit("").alias("desc"))
+    return rows.select(F.to_json(F.struct("*")).alias("json")) if as_json else rows
+
+
 def objects(edges: DataFrame) -> DataFrame:
     """The first tail for each head and relation."""
     return edges.groupBy("head", "relation").agg(F.min_by("tail", F.struct("seq", "tail")).alias("tail"))

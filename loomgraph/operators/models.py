@@ -46,21 +46,83 @@ def replay(asked: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(last, "request_hash", "left")
 
 
-def retrying(call: Callable[[str, str], str], tries: int = 3, wait: float = 1.0) -> Callable[[str, str], str]:
-    """Up to ``tries`` attempts with waits of wait * 2^k; an empty answer after the last failure."""
+def retrying(call: Callable[[str, str], str], tries: int = 3, wait: float = 1.0) -> Callable[[str, str], str | None]:
+    """Up to ``tries`` attempts with waits of wait * 2^k; null after the last failure, for the error sink."""
 
-    def run(model: str, prompt: str) -> str:
+    def run(model: str, prompt: str) -> str | None:
         for k in range(tries):
             try:
                 return call(model, prompt)
             except Exception:
                 if k + 1 < tries:
                     time.sleep(wait * 2**k)
-        return ""
+        return None
 
     return run
 
 
+def endpoint(base: str) -> str:
+    """The chat endpoint of a service's base address."""
+    base = base.rstrip("/")
+    if base.endswith("/chat/completions"):
+        return base
+    return base + ("/chat/completions" if re.search(r"/v\d+$", base) else "/v1/chat/completions")
+
+
+def http_chat(base: str, key: str = "", system: str = "", timeout: float = 120.0, json_mode: bool = False, **options) -> Callable[[str, str], str]:
+    """call(model, prompt) over HTTP for live(): one chat message, its answer's text. Errors raise, retrying() waits."""
+    url = endpoint(base)
+
+    def call(model: str, prompt: str) -> str:
+        import json
+        from urllib import request
+
+        messages = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
+        body = {"model": model, "messages": messages, **options} | ({"response_format": {"type": "json_object"}} if json_mode else {})
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        with request.urlopen(request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as answer:
+            return json.loads(answer.read())["choices"][0]["message"]["content"]
+
+    return call
+
+
+def mime(path: Column | str) -> Column:
+    """The media type of an image by its suffix; JPEG where the suffix says nothing."""
+    suffix = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    known = F.when(suffix.isin("png", "gif", "webp", "bmp"), suffix).otherwise("jpeg")
+    return F.concat(F.lit("image/"), known)
+
+
+def data_url(path: Column | str, content: Column | str) -> Column:
+    """An image's bytes as a data address; addresses on the web and data addresses stay as they are."""
+    path = F.col(path) if isinstance(path, str) else path
+    encoded = F.concat(F.lit("data:"), mime(path), F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s", ""))
+    return F.when(F.regexp_like(path, F.lit(r"^(?i)(https?://|data:)")), path).otherwise(encoded)
+
+
+def vision_payload(prompt: Column, image: Column) -> Column:
+    """The JSON body's messages of a question about an image."""
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("image_url"))
+    none, no_url = F.lit(None).cast("string"), F.lit(None).cast("struct<url:string>")
+    return F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.array(part("text", prompt, no_url), part("image_url", none, F.struct(image.alias("url")))).alias("content"))))
+
+
+def http_vision(base: str, key: str = "", timeout: float = 120.0, **options) -> Callable[[str, str], str]:
+    """call(model, payload) for live(), where the prompt column holds vision_payload()."""
+    url = endpoint(base)
+
+    def call(model: str, payload: str) -> str:
+        import json
+        from urllib import request
+
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        body = {"model": model, "messages": json.loads(payload), **options}
+        with request.urlopen(request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as answer:
+            return json.loads(answer.read())["choices"][0]["message"]["content"]
+
+    return call
+
+
 def live(asked: DataFrame, call: Callable[[str, str], str], concurrency: int = 8, tries: int = 3) -> DataFrame:
     """Adds the response of call(model, prompt); call must be picklable and is used by threads."""
     from pyspark.sql import types as T
@@ -110,3 +172,33 @@ def llm_map(rows: DataFrame, template: str, responses: DataFrame, *keep: str, mo
     """Fills a template from columns of the same names and replays its responses."""
     names = PLACE.findall(TEMPLATES[template])
     return replay(requests(rows, template, fill(TEMPLATES[template], {n: F.col(n) for n in names}), model, *keep), responses)
+
+
+#: What the question of a kind of task is to use; our own wording.
+TASK_HINTS = {
+    "table": "Use the cells of the tables.", "chart": "Use what the images show.", "formula": "Use the formulas.", "text": "Use the passages.",
+    "multihop": "The answer must need every step of the path.", "multi": "Combine all the pieces.",
+}
+
+
+def task_prompt(task: Column | str, context: Column) -> Column:
+    """The QA prompt of a task: the common template, with the hints whose words the task's name holds."""
+    task = F.col(task) if isinstance(task, str) else task
+    hints = F.concat_ws(" ", *(F.when(F.contains(task, F.lit(word)), F.lit(hint)) for word, hint in TASK_HINTS.items()))
+    base = fill(TEMPLATES["qa"], {"graph_context": context})
+    return F.concat(base, F.when(F.length(hints) > 0, F.concat(F.lit("\n"), hints)).otherwise(""))
+
+
+def qa_requests(contexts: DataFrame, tasks: DataFrame, model: str = "") -> DataFrame:
+    """(path_id, task_type, prompt, ...): contexts (path_id, task_type, context) of registered tasks; others are not asked."""
+    known = contexts.join(F.broadcast(tasks.select("task_type")), "task_type")  # one row a task
+    return requests(known, "qa", task_prompt("task_type", F.col("context")), model, "path_id", "task_type")
+
+
+def judge_requests(records: DataFrame, stage: str, models: list[str]) -> DataFrame:
+    """(path_id, model_index, model, prompt, ...): one request a record and judge, evidence as JSON."""
+    columns = {"evidence": F.to_json("evidence") if dict(records.dtypes).get("evidence", "string") != "string" else F.col("evidence"), "q": F.col("q"), "a": F.col("a"), "cot": F.col("cot")}
+    prompt = fill(TEMPLATES[stage], {n: columns[n] for n in PLACE.findall(TEMPLATES[stage])})
+    asked = records.select("path_id", prompt.alias("prompt"), F.posexplode(F.array(*map(F.lit, models))).alias("model_index", "model"))
+    made = asked.withColumn("stage", F.lit(stage))
+    return made.withColumn("request_hash", F.md5(F.concat_ws("\u0001", "stage", "model", "prompt")))

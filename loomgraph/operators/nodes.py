@@ -101,3 +101,85 @@ def merge_pages(chunks: DataFrame) -> DataFrame:
     """Texts of a document concatenated in order, page indexes averaged."""
     rows = F.array_sort(F.collect_list(F.struct("pos", "text")))
     return chunks.groupBy("doc_name").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias("text"), F.avg("page_idx").alias("page_idx"))
+
+
+# ---- modal analyses, recall, calls without a model ------------------------------------
+
+#: The fields an analysis must give, by type.
+ANALYSED = {"Table": ("name", "caption", "desc"), "Formula": ("name", "caption", "desc"), "Image": ("name", "class", "caption", "content", "desc")}
+
+
+def with_analysis(nodes: DataFrame, kind: str, responses: DataFrame) -> DataFrame:
+    """Nodes (id, ...) with the parsed answers about them laid over; responses: (src_id, response).
+
+    A table or an image keeps the caption it has; a table is named by its caption; of a
+    formula every parsed field counts. Answers that lack a required field change nothing
+    (llm_ok is false); a node without an answer stays as it is.
+    """
+    from loomgraph.operators.parse import modal_analysis
+
+    fields = ANALYSED[kind]
+    found = modal_analysis(responses, fields).select("src_id", F.col("ok").alias("llm_ok"), *(F.col(f).alias(f"__{f}") for f in fields))
+    out = nodes.join(found, nodes["id"] == found["src_id"], "left").drop(found["src_id"]).withColumn("llm_ok", F.coalesce("llm_ok", F.lit(False)))
+    for f in fields:
+        own = F.col(f) if f in nodes.columns else F.lit(None).cast("string")
+        said = F.when(F.col("llm_ok"), F.col(f"__{f}"))
+        kept = f == "caption" and kind != "Formula"
+        out = out.withColumn(f, F.coalesce(F.nullif(own, F.lit("")), said) if kept else F.coalesce(said, own))
+    if kind == "Table":
+        out = out.withColumn("name", F.coalesce(F.nullif("caption", F.lit("")), "name"))
+    return out.drop(*(f"__{f}" for f in fields))
+
+
+def modal_entities(nodes: DataFrame, responses: DataFrame) -> DataFrame:
+    """Entities extracted from tables, images and formulas, flagged from_modal; their relations are not taken.
+
+    responses: (src_id, ordinal, response) about the nodes' ids.
+    """
+    from loomgraph.operators.parse import entities
+
+    found = entities(responses.join(nodes.select(F.col("id").alias("src_id")), "src_id", "left_semi"))
+    return found.drop("pos").withColumn("from_modal", F.lit(True))
+
+
+def relation_recall(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """Per chunk the request for relations not found yet: its entities, and the relations to leave out.
+
+    chunks: id, content; entities: src_id, name; relations: src_id, head, relation, tail.
+    Chunks without entities are not asked.
+    """
+    from loomgraph.operators.models import TEMPLATES, fill, requests
+
+    names = entities.groupBy("src_id").agg(F.array_join(F.array_sort(F.collect_set("name")), "\n").alias("entities"))
+    line = F.concat_ws(" ", "head", "relation", "tail")
+    known = relations.groupBy("src_id").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("relations"))
+    rows = chunks.join(names, chunks["id"] == names["src_id"]).drop("src_id").join(known, chunks["id"] == known["src_id"], "left").drop("src_id")
+    prompt = fill(TEMPLATES["recall_relations"], {c: F.col(c) for c in ("entities", "relations", "content")})
+    return requests(rows, "recall_relations", prompt, "", "id")
+
+
+def entity_recall(chunks: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Per chunk the request for heads and tails of its relations that no entity is named by (exactly)."""
+    from loomgraph.operators.models import TEMPLATES, fill, requests
+
+    ends = relations.select("src_id", F.explode(F.array("head", "tail")).alias("name")).distinct()
+    lacking = ends.join(entities.select("name").distinct(), "name", "left_anti")
+    names = lacking.groupBy("src_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+    rows = chunks.join(names, chunks["id"] == names["src_id"]).drop("src_id")
+    prompt = fill(TEMPLATES["recall_entities"], {c: F.col(c) for c in ("names", "content")})
+    return requests(rows, "recall_entities", prompt, "", "id", "names")
+
+
+def call_without_model(nodes: DataFrame) -> DataFrame:
+    """Documents and chunks take part in the calls' uniform shape with an empty answer, which any check accepts."""
+    return nodes.withColumns({"llm_out": F.lit(""), "llm_out_error": F.lit(None).cast("string")})
+
+
+def accepted(answers: DataFrame) -> DataFrame:
+    """The check of types whose answers need no fields: nothing is wrong with any."""
+    return answers.withColumn("llm_out_error", F.lit(None).cast("string"))
+
+
+def finish_documents(documents: DataFrame) -> DataFrame:
+    """Documents end with an empty description and no attributes."""
+    return documents.withColumns({"desc": F.lit(""), "attr": F.create_map().cast("map<string,array<string>>")})

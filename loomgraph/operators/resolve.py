@@ -54,11 +54,17 @@ def merge_by_standard_name(entities: DataFrame, alias_map: DataFrame, components
 
 
 def rewrite(rows: DataFrame, mapping: DataFrame, *columns: str) -> DataFrame:
-    """Each column through a (old, new) map; what the map lacks stays. Of repeated olds the largest new counts."""
-    unique = mapping.groupBy("old").agg(F.max("new").alias("new"))
+    """Each column through a (old, new[, seq]) map; what the map lacks stays.
+
+    Of repeated olds the last by seq counts, without seq or at ties the largest new. Null
+    olds map nothing, an empty map changes nothing, and repeated rows stay repeated.
+    """
+    order = F.struct("seq", "new") if "seq" in mapping.columns else F.col("new")
+    unique = mapping.where("old is not null").groupBy("old").agg(F.max_by("new", order).alias("new"))
     for c in columns:
-        own = unique.select(F.col("old").alias(c), F.col("new").alias("rewritten"))
-        rows = rows.join(own, c, "left").withColumn(c, F.coalesce("rewritten", c)).drop("rewritten")
+        own = unique.select(F.col("old").alias("__rewritten_old"), F.col("new").alias("__rewritten_new"))
+        joined = rows.join(own, F.col(c) == F.col("__rewritten_old"), "left").withColumn(c, F.coalesce("__rewritten_new", c))
+        rows = joined.drop("__rewritten_old", "__rewritten_new")
     return rows
 
 
@@ -89,3 +95,73 @@ def standard_relations(responses: DataFrame) -> DataFrame:
     line = F.explode(F.split("response", "\n")).alias("line")
     parts = responses.select(line).select(F.split("line", r"<\|#\|>").alias("p")).where("size(p) = 3 AND trim(p[0]) = 'relation_std_map'")
     return parts.select(F.explode(F.split(F.col("p")[2], ",")).alias("old"), F.trim(F.col("p")[1]).alias("new")).select(F.trim("old").alias("old"), "new").where("old <> ''")
+
+
+# ---- by similarity --------------------------------------------------------------------
+
+
+def class_requests(classes: DataFrame, template: str, least: int = 2) -> DataFrame:
+    """One request a class of ``least`` names or more: component, names (sorted), prompt and hash.
+
+    classes: (name, component). A class's names go into one prompt, which bounds it.
+    """
+    from loomgraph.operators.models import TEMPLATES, fill, requests
+
+    grouped = classes.groupBy("component").agg(F.array_sort(F.collect_set("name")).alias("names")).where(F.size("names") >= least)
+    prompt = fill(TEMPLATES[template], {"names": F.array_join("names", "\n")})
+    return requests(grouped, template, prompt, "", "component", "names")
+
+
+def sized(classes: DataFrame) -> DataFrame:
+    """(name, component, size): how many names each class has."""
+    return classes.join(classes.groupBy("component").agg(F.count("*").alias("size")), "component").select("name", "component", "size")
+
+
+def merge_entities_by_similarity(entities: DataFrame, classes: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged entities, alias map) from classes of names and the replayed answers about them.
+
+    entities: name, src_id; classes: (name, component). Members of a class of several that
+    the answers name nowhere are dropped, single ones stay.
+    """
+    from loomgraph.operators.models import replay
+    from loomgraph.operators.parse import alias_map
+
+    answered = replay(class_requests(classes, "entity_standard"), responses).where("response is not null")
+    ordered = answered.select("response", F.col("component").alias("ordinal"))
+    names = alias_map(ordered)
+    return merge_by_standard_name(entities, names, sized(classes)), names
+
+
+def merge_assertions_by_similarity(assertions: DataFrame, classes: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged assertions, relation map): relations standardised by class, then one row a (head, relation, tail).
+
+    assertions: head, relation, tail, desc, src_id, from_modal, seq. alias holds the
+    relation names as they were; groups of modal rows only are dropped.
+    """
+    from loomgraph.operators.models import replay
+
+    answered = replay(class_requests(classes, "relation_standard"), responses).where("response is not null")
+    mapping = standard_relations(answered)
+    kept = rewrite(assertions.withColumn("alias", F.col("relation")), mapping, "relation")
+    aliases = kept.groupBy("head", "relation", "tail").agg(F.array_sort(F.collect_set("alias")).alias("alias"))
+    return merge_assertions(kept).join(aliases, ["head", "relation", "tail"]), mapping
+
+
+def merge(nodes: dict[str, DataFrame], similar: dict[str, tuple[DataFrame, DataFrame]] | None = None) -> dict[str, DataFrame]:
+    """The merges in their order: documents, chunks, entities, assertions, tables, formulas, images by id,
+    then entities ("Entity") and assertions ("Assertion") by similarity, where (classes, responses) are given."""
+    out = {}
+    for kind in ("Document", "Chunk", "Entity", "Assertion", "Table", "Formula", "Image"):
+        if kind not in nodes:
+            continue
+        rows = nodes[kind]
+        out[kind] = merge_entities_by_id(rows) if kind == "Entity" else merge_assertions(rows) if kind == "Assertion" else last_wins(rows, ["id"])
+    similar = similar or {}
+    if "Entity" in similar and "Entity" in out:
+        out["Entity"], names = merge_entities_by_similarity(nodes["Entity"].select("name", "src_id"), *similar["Entity"])
+        if "Assertion" in out:
+            renamed = rewrite(nodes["Assertion"], names.select(F.col("name").alias("old"), F.col("standard").alias("new")), "head", "tail")
+            out["Assertion"], nodes = merge_assertions(renamed), {**nodes, "Assertion": renamed}
+    if "Assertion" in similar and "Assertion" in out:
+        out["Assertion"], _ = merge_assertions_by_similarity(nodes["Assertion"], *similar["Assertion"])
+    return out

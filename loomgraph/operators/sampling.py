@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +31,14 @@ def random_sampler(nodes: DataFrame, edges: DataFrame, order: int, seed: str, tr
     return chosen
 
 
-def bfs_sampler(nodes: DataFrame, edges: DataFrame, order: int, seed: str, children: int = 3, rounds: int = 64) -> DataFrame:
+def bfs_sampler(nodes: DataFrame, edges: DataFrame, order: int, seed: str, children: int = 3) -> DataFrame:
     """From a random start, up to ``children`` random successors of each node reached (chosen
     before the visited ones are left out); topped up with random nodes. (id, step)."""
     rank = F.row_number().over(Window.partitionBy("head").orderBy(hash_order(seed, "head", "tail"), "tail"))
     picked = materialize(edges.select("head", "tail").where("head <> tail").distinct().withColumn("r", rank).where(F.col("r") <= children).select("head", "tail"), "children")
     seen = materialize(random_nodes(nodes, 1, seed).select("id", F.lit(0).alias("step")), "bfs")
     frontier, n = seen, 1
-    for k in range(1, rounds):
+    for k in count(1):
         if n >= order:
             break
         new = frontier.join(picked, frontier.id == picked["head"]).select(F.col("tail").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
@@ -52,17 +54,19 @@ def bfs_sampler(nodes: DataFrame, edges: DataFrame, order: int, seed: str, child
     return seen
 
 
-def chain_sampler(nodes: DataFrame, edges: DataFrame, order: int, seed: str, attempts: int = 10, max_steps: int = 8) -> DataFrame:
-    """Augmented chain: the shortest path between a start and a node not next to it, then one
-    or two successors of each path node, up to ``order``; a random sample where no end is found. (id, part)."""
+def chain_sampler(nodes: DataFrame, edges: DataFrame, order: int, seed: str, attempts: int = 10) -> DataFrame:
+    """Augmented chain: the shortest path between a random start and the first of ``attempts`` random
+    nodes that it reaches, not next to it; then up to two successors of each path node, up to
+    ``order``; a random sample where no end is found. (id, part)."""
     start = materialize(random_nodes(edges.select(F.col("head").alias("id")), 1, seed), "start")
-    reached = materialize(shortest_paths(edges, start.select(F.col("id").alias("src")), max_steps), "reached")
-    ends = reached.where("len > 1").orderBy(hash_order(seed, "dst"), "dst").limit(attempts)
-    end = ends.orderBy(F.desc("len"), hash_order(seed, "dst")).limit(1).collect()
+    reached = materialize(shortest_paths(edges, start.select(F.col("id").alias("src")), None), "reached")
+    tried = nodes.select(F.col("id").alias("dst")).distinct().join(reached.where("len < 2").select("dst"), "dst", "left_anti")
+    tried = tried.orderBy(hash_order(seed, "dst"), "dst").limit(attempts)
+    end = tried.join(reached, "dst").orderBy(hash_order(seed, "dst"), "dst").limit(1).collect()
     if not end:
         return random_sampler(nodes, edges, order, seed).withColumn("part", F.lit("random"))
     path, at = [end[0].dst], end[0].dst
-    for k in range(end[0].len - 1, -1, -1):  # back along distances: at most max_steps rows
+    for k in range(end[0].len - 1, -1, -1):  # back along distances, a row a step
         before = reached.where(F.col("len") == k).join(edges.where(F.col("tail") == at), F.col("dst") == F.col("head"))
         at = before.agg(F.min("dst")).first()[0]
         path.append(at)

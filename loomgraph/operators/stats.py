@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import word_count
+from loomgraph.scratch import materialize
 
 BUCKETS = ["0-64", "65-128", "129-256", "257-512", "513+"]
 METRICS = ["em", "acc", "f1", "rouge1", "rouge2", "rougeL"]
@@ -45,7 +46,8 @@ def correct_rates(rows: DataFrame) -> DataFrame:
 
 def statistics(scored: DataFrame, task_types: list[str]) -> DataFrame:
     """The whole statistics document in long form: section, metric, key, value."""
-    rows = token_lengths(scored).withColumn("bucket", bucket("total_tokens")).persist()
+    rows = token_lengths(scored).withColumn("bucket", bucket("total_tokens"))
+    rows = materialize(rows.select("bucket", "task_type", "support_label", "level", "score", "num_hops", "q_tokens", "a_tokens", "cot_tokens", "total_tokens", "strong_correct", "weak_correct"), "lengths")  # read once for each metric
     universes = {
         "task_type": task_types, "support_label": ["supported", "unsupported", "unevaluated"], "level": ["simple", "medium", "hard", "unevaluated"],
         "score": [0, 1, 2, 3, 4, 5], "bucket": BUCKETS, "num_hops": None,

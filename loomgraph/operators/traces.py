@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.ids import hash_order
+from loomgraph.functions.ids import hash_fraction, hash_order
 from loomgraph.operators.graph import degrees, neighbour_types, neighbours, typed_neighbours
 from loomgraph.schemas import TASK
+from loomgraph.scratch import materialize
 
 #: Task, required Chunk, Table, Image and Formula neighbours, most steps.
 TASKS = [
@@ -48,30 +49,41 @@ def start_candidates(edges: DataFrame, nodes: DataFrame, tasks: DataFrame, seed:
 def degree_band(edges: DataFrame, nodes: DataFrame, band: str) -> DataFrame:
     """(id, degree): the top quartile (high), the middle half (medium) or all, ranked by degree, ties by id.
 
-    A node's rank is the rank of its degree class, from counts by degree (as many rows as
-    there are different degrees), plus its rank within the class.
+    Rows are dealt by range of (degree, id) and sorted in each partition; a row's rank is its
+    place there plus the rows of the partitions before, of which only the counts are
+    gathered. So no task holds a whole degree. Nodes without edges have degree 0.
     """
     d = degrees(edges).select("id", (F.col("in_deg") + F.col("out_deg")).alias("degree"))
-    full = nodes.select("id").join(d, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    full = nodes.select("id").join(d, "id", "left").select("id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     if band not in ("high", "medium"):
         return full
-    counts = full.groupBy("degree").agg(F.count("*").alias("n"))
-    above = counts.select("degree", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above"))
-    total = full.agg(F.count("*").alias("total"))
-    within = F.row_number().over(Window.partitionBy("degree").orderBy("id"))
-    ranked = full.join(above, "degree").withColumn("rank", F.col("above") + within - 1).crossJoin(F.broadcast(total))
-    quarter = F.floor(F.col("total") / 4)
-    keep = F.col("rank") < quarter if band == "high" else (F.col("rank") >= quarter) & (F.col("rank") < quarter * 3)
-    return ranked.where(keep).select("id", "degree")
+    dealt = full.repartitionByRange(F.desc("degree"), "id").sortWithinPartitions(F.desc("degree"), "id")
+    # numbered once and kept, as a range partitioning may differ when it is made again
+    part = F.shiftright(F.monotonically_increasing_id(), 33)
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    dealt = materialize(dealt.select("id", "degree", part.alias("part"), place.alias("place")), "ranked")
+    counts = dealt.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = dealt.count()
+    rank = F.col("before") + F.col("place")
+    keep = rank < total // 4 if band == "high" else (rank >= total // 4) & (rank < total // 4 * 3)
+    return dealt.join(F.broadcast(before), "part").where(keep).select("id", "degree")
 
 
 def companions(starts: DataFrame, edges: DataFrame, nodes: DataFrame, tasks: DataFrame, seed: str) -> DataFrame:
-    """(task, start, type, id): for each required type so many neighbours of the start, by hash."""
+    """(task, start, type, id): for each required type so many neighbours of the start, by hash.
+
+    A requirement -k asks for k - 1 or more: a seeded number from k - 1 to all there are.
+    """
     wanted = tasks.select(F.col("task_type").alias("task"), F.explode("requirement").alias("type", "k")).where("k <> 0")
     near = typed_neighbours(edges, nodes).select(F.col("id").alias("start"), F.col("neighbour").alias("id"), "type")
     found = starts.select("task", F.col("id").alias("start")).join(F.broadcast(wanted), "task").join(near, ["start", "type"])
     rank = F.row_number().over(Window.partitionBy("task", "start", "type").orderBy(hash_order(seed, "start", "id"), "id"))
-    return found.withColumn("r", rank).where("r <= abs(k)").select("task", "start", "type", "id")
+    there = F.count("*").over(Window.partitionBy("task", "start", "type"))
+    least = F.least(-F.col("k") - 1, "there")
+    some = least + F.floor(hash_fraction(seed, "task", "start", "type") * (F.col("there") - least + 1))
+    wanted_n = F.when(F.col("k") >= 0, F.col("k")).otherwise(some)
+    return found.withColumns({"r": rank, "there": there}).where(F.col("r") <= wanted_n).select("task", "start", "type", "id")
 
 
 def khop_paths(edges: DataFrame, k: int, starts: DataFrame | None = None) -> DataFrame:
@@ -83,6 +95,8 @@ def khop_paths(edges: DataFrame, k: int, starts: DataFrame | None = None) -> Dat
     for n in range(2, k + 1):
         grown = paths.join(steps, paths.last == steps["head"]).where(~F.array_contains("path", F.col("tail")))
         paths = grown.select(F.concat("path", F.array("tail")).alias("path"), F.lit(n).alias("len"), F.col("tail").alias("last"))
+        if n < k:  # read twice: grown from, and given out
+            paths = materialize(paths, "paths")
         out = out.unionByName(paths)
     return out.drop("last")
 
@@ -108,8 +122,6 @@ def dfs_traces(starts: DataFrame, edges: DataFrame, max_steps: int, seed: str, l
     search in that order meets first. All ``width`` choices of every path are followed, so at
     most width^(max_steps - 1) paths a start are held; the last step keeps one choice a path.
     """
-    from loomgraph.scratch import materialize
-
     near = neighbours(edges, mode)
     d = near.groupBy("id").agg(F.count("*").alias("degree"))
     begin = starts.select("id").distinct()

@@ -39,8 +39,6 @@ UNION ALL SELECT concat('Order#', o_orderkey), 'placed_by', c_name, 300000000000
 UNION ALL SELECT concat('Order#', l_orderkey), 'contains', concat('Part#', l_partkey), 4000000000000 + l_orderkey * 10 + l_linenumber FROM {lineitem}
 UNION ALL SELECT concat('Part#', l_partkey), 'supplied_by', concat('Supplier#', l_suppkey), 5000000000000 + l_orderkey * 10 + l_linenumber FROM {lineitem}
 """
-#: The small hub part of it: nations, regions, customers, suppliers.
-HUBS = "\n".join(STAR.strip().splitlines()[:3])
 
 
 def _id(prefix: str, kind: str, key: str) -> str:

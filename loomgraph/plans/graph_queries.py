@@ -11,13 +11,12 @@ from loomgraph.operators import nodes as N
 from loomgraph.operators import resolve as R
 from loomgraph.operators import sampling as S
 from loomgraph.operators import traces as T
-from loomgraph.plans.fixtures import HUBS, STAR, TYPED_EDGES, TYPED_NODES, frame, plain
+from loomgraph.plans.fixtures import STAR, TYPED_EDGES, TYPED_NODES, frame, plain
 from loomgraph.scratch import materialize
 
 Q: dict = {}
 SQL: dict[str, str] = {}
 STAR_ = plain(STAR)
-HUBS_ = plain(HUBS)
 NODES_, EDGES_ = plain(TYPED_NODES), plain(TYPED_EDGES)
 WITH_TYPED = f"WITH n AS ({NODES_}), e AS ({EDGES_})"
 ENT = lambda c: f"'ent-' || md5(lower({c}))"
@@ -107,13 +106,8 @@ def node_triples(spark, d):
     return side(G.out_triples(e, n), "out").unionByName(side(G.in_triples(e, n), "in"))
 
 
-@query("node_relations", f"WITH t AS ({HUBS_}) SELECT head AS id, head, relation, tail FROM t UNION ALL SELECT tail, head, relation, tail FROM t")
+@query("node_relations", f"WITH t AS ({STAR_}) SELECT head AS id, head, relation, tail FROM t UNION ALL SELECT tail, head, relation, tail FROM t")
 def node_relations(spark, d):
-    return G.node_relations(frame(spark, d, HUBS))
-
-
-@query("node_relations_star")
-def node_relations_star(spark, d):
     return G.node_relations(frame(spark, d, STAR))
 
 
@@ -228,44 +222,26 @@ def hub_bridges(spark, d):
 
 # ---- paths ----------------------------------------------------------------------------
 
-PATH_SQL = f"""WITH RECURSIVE t AS (SELECT DISTINCT {ENT('head')} AS head, relation, {ENT('tail')} AS tail FROM ({STAR_}) WHERE relation IN ('in_region', 'in_nation', 'placed_by')),
-p(path, last, len) AS (SELECT [head, tail], tail, 1 FROM t WHERE head <> tail UNION ALL SELECT list_append(path, t.tail), t.tail, len + 1 FROM p JOIN t ON last = t.head WHERE len < 3 AND NOT list_contains(path, t.tail))
+PATH_SQL = f"""WITH RECURSIVE t AS (SELECT DISTINCT {ENT('head')} AS head, relation, {ENT('tail')} AS tail FROM ({STAR_})), g AS (SELECT DISTINCT head, tail FROM t),
+p(path, last, len) AS (SELECT [head, tail], tail, 1 FROM g WHERE head <> tail UNION ALL SELECT list_append(path, g.tail), g.tail, len + 1 FROM p JOIN g ON last = g.head WHERE len < 3 AND NOT list_contains(path, g.tail))
 """
 
 
-def _path_edges(spark, d):
-    return E.deduplicate(E.relation_edges(frame(spark, d, STAR).where("relation IN ('in_region', 'in_nation', 'placed_by')")))
-
-
-@query("khop_paths", PATH_SQL + "SELECT DISTINCT array_to_string(path, '->') AS path, CAST(len AS BIGINT) AS len FROM p")
-def khop_paths(spark, d):
-    e = _path_edges(spark, d)
-    n = N.entity_nodes(frame(spark, d, STAR))
-    return T.khop_paths(G.collapse(G.valid_edges(e, n)), 3).select(F.array_join("path", "->").alias("path"), F.col("len").cast("long").alias("len"))
-
-
-@query("path_relations", PATH_SQL + """SELECT array_to_string(path, '->') AS path_id, CAST(i - 1 AS BIGINT) AS pos, t.head, t.relation, t.tail
-FROM (SELECT path, unnest(range(1, len(path))) AS i FROM (SELECT DISTINCT path FROM p WHERE len = 2)) JOIN t ON t.head = path[i] AND t.tail = path[i + 1]""")
-def path_relations(spark, d):
-    e = _path_edges(spark, d)
-    paths = T.khop_paths(e, 2).where("len = 2").withColumn("path_id", F.array_join("path", "->"))
-    return T.path_relations(paths, e).withColumn("pos", F.col("pos").cast("long"))
-
-
 def _star_edges(spark, d):
     return E.deduplicate(E.relation_edges(frame(spark, d, STAR)))
 
 
-@query("khop_paths_star")
-def khop_paths_star(spark, d):
+@query("khop_paths", PATH_SQL + "SELECT array_to_string(path, '->') AS path, CAST(len AS BIGINT) AS len FROM p")
+def khop_paths(spark, d):
     """Paths of up to three steps over all relations."""
     n = N.entity_nodes(frame(spark, d, STAR))
     paths = T.khop_paths(G.collapse(G.valid_edges(_star_edges(spark, d), n)), 3)
     return paths.select(F.array_join("path", "->").alias("path"), F.col("len").cast("long").alias("len"))
 
 
-@query("path_relations_star")
-def path_relations_star(spark, d):
+@query("path_relations", PATH_SQL + """SELECT array_to_string(path, '->') AS path_id, CAST(i - 1 AS BIGINT) AS pos, t.head, t.relation, t.tail
+FROM (SELECT path, unnest(range(1, len(path))) AS i FROM p) JOIN t ON t.head = path[i] AND t.tail = path[i + 1]""")
+def path_relations(spark, d):
     """The edges of all paths of up to three steps over all relations."""
     e = _star_edges(spark, d)
     paths = T.khop_paths(e, 3).withColumn("path_id", F.array_join("path", "->"))
@@ -278,38 +254,22 @@ def path_dedup(spark, d):
     return T.deduplicate(e.select(F.array("head", "tail").alias("path"))).select(F.array_join("path", "->").alias("path"))
 
 
-@query("shortest_path_len", f"""WITH RECURSIVE t AS (SELECT DISTINCT head, tail FROM ({STAR_}) WHERE relation <> 'contains'), s AS (SELECT DISTINCT head AS src FROM t WHERE head LIKE '%5'),
-w(src, dst, len) AS (SELECT src, src, 0 FROM s UNION SELECT src, tail, len + 1 FROM w JOIN t ON dst = head WHERE len < 3)
+@query("shortest_path_len", f"""WITH RECURSIVE t AS (SELECT DISTINCT head, tail FROM ({STAR_})), s AS (SELECT DISTINCT head AS src FROM t),
+w(src, dst, len) AS (SELECT src, src, 0 FROM s UNION SELECT src, tail, len + 1 FROM w JOIN t ON dst = head WHERE len < 8)
 SELECT src, dst, CAST(min(len) AS BIGINT) AS len FROM w GROUP BY src, dst""")
 def shortest_path_len(spark, d):
-    e = frame(spark, d, STAR).where("relation <> 'contains'")
-    found = G.shortest_paths(e, e.select(F.col("head").alias("src")).where("src LIKE '%5'").distinct(), 3)
-    return found.withColumn("len", F.col("len").cast("long"))
-
-
-@query("shortest_path_len_star")
-def shortest_path_len_star(spark, d):
-    """From every head over all edges, to any distance."""
+    """From every head over all edges, to any distance; the star has no path of more than five steps."""
     e = frame(spark, d, STAR)
     return G.shortest_paths(e, e.select(F.col("head").alias("src")).distinct(), None).withColumn("len", F.col("len").cast("long"))
 
 
 # ---- rewrites and merges --------------------------------------------------------------
 
-@query("alias_rewrite", f"""WITH t AS ({HUBS_}) SELECT coalesce('Nation of ' || h.r_name, head) AS head, relation, coalesce('Nation of ' || x.r_name, tail) AS tail FROM t
+@query("alias_rewrite", f"""WITH t AS ({STAR_}) SELECT coalesce('Nation of ' || h.r_name, head) AS head, relation, coalesce('Nation of ' || x.r_name, tail) AS tail FROM t
 LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) h ON head = h.n_name LEFT JOIN (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) x ON tail = x.n_name""")
 def alias_rewrite(spark, d):
-    return _alias_rewrite(spark, d, HUBS)
-
-
-@query("alias_rewrite_star")
-def alias_rewrite_star(spark, d):
-    return _alias_rewrite(spark, d, STAR)
-
-
-def _alias_rewrite(spark, d, triples):
     mapping = frame(spark, d, "SELECT n_name AS old, concat('Nation of ', r_name) AS new FROM {nation} JOIN {region} ON n_regionkey = r_regionkey")
-    return R.rewrite(frame(spark, d, triples), mapping, "head", "tail").select("head", "relation", "tail")
+    return R.rewrite(frame(spark, d, STAR), mapping, "head", "tail").select("head", "relation", "tail")
 
 
 @query("relation_rewrite", f"SELECT head, CASE relation WHEN 'in_nation' THEN 'located_in' WHEN 'in_region' THEN 'located_in' ELSE relation END AS relation, tail FROM ({STAR_})")
@@ -318,18 +278,10 @@ def relation_rewrite(spark, d):
     return R.rewrite(frame(spark, d, STAR), mapping, "relation").select("head", "relation", "tail")
 
 
-@query("edge_correction", f"""WITH t AS ({HUBS_}), x AS (SELECT CASE WHEN head LIKE 'Customer%' THEN 'Customer' ELSE head END AS head, CASE relation WHEN 'in_region' THEN 'located_in' ELSE relation END AS relation, tail, seq FROM t)
+@query("edge_correction", f"""WITH t AS ({STAR_}), x AS (SELECT CASE WHEN head LIKE 'Customer%' THEN 'Customer' ELSE head END AS head, CASE relation WHEN 'in_region' THEN 'located_in' ELSE relation END AS relation, CASE WHEN tail LIKE 'Customer%' THEN 'Customer' ELSE tail END AS tail, seq FROM t)
 SELECT head, relation, tail, max(seq) AS seq FROM x GROUP BY head, relation, tail""")
 def edge_correction(spark, d):
-    return _edge_correction(frame(spark, d, HUBS))
-
-
-@query("edge_correction_star")
-def edge_correction_star(spark, d):
-    return _edge_correction(frame(spark, d, STAR))
-
-
-def _edge_correction(t):
+    t = frame(spark, d, STAR)
     merged = t.where("head LIKE 'Customer%'").select(F.col("head").alias("old"), F.lit("Customer").alias("new")).distinct()
     return E.correct(t, merged, t.sparkSession.createDataFrame([("in_region", "located_in")], "old string, new string"))
 

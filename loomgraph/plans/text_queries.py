@@ -299,29 +299,33 @@ def hop_distribution(spark, d):
     return ST.distribution(frame(spark, d, SCORED), "num_hops")
 
 
-@query("statistics_document")
-def statistics_document(spark, d):
-    return ST.statistics(frame(spark, d, SCORED), ["task0", "task1", "task2"])
-
-
 # ---- evaluation -----------------------------------------------------------------------
 
-PAIRS = "SELECT doc_id, concat(substr(text, 1, 300), CASE WHEN doc_id % 5 = 0 THEN '' ELSE ' tail' END) AS pred, CASE WHEN doc_id % 3 = 0 THEN concat(' ', substr(text, 1, 300)) WHEN doc_id % 3 = 1 THEN substr(text, 21, 80) ELSE substr(text, 150, 200) END AS gold FROM {documents} WHERE lang = 'en'"
+#: Whole texts of all documents: against the same text, a benchmark item, or the document before.
+PAIRS = """SELECT d.doc_id, concat(coalesce(d.text, ''), CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE ' tail' END) AS pred,
+CASE WHEN d.doc_id % 3 = 0 THEN concat(' ', d.text) WHEN d.doc_id % 3 = 1 THEN b.text ELSE o.text END AS gold
+FROM {documents} d LEFT JOIN {benchmark} b ON d.doc_id % 3 = 1 AND b.item_id = d.doc_id % (SELECT count(*) FROM {benchmark})
+LEFT JOIN {documents} o ON d.doc_id % 3 = 2 AND o.doc_id = d.doc_id - 1"""
 PAIRS_ = plain(PAIRS)
 NORM = r"lower(regexp_replace({c}, '^\s+|\s+$', '', 'g'))"
 TOK = r"list_filter(regexp_split_to_array(" + NORM + r", '\s+'), lambda x: x <> '')"
 HARMONIC = "CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END"
 
 
+def _six(x):
+    """Six places, halves (and what misses them by a rounding error) up: the engines' round() differ there."""
+    return F.floor(x * 1000000 + 0.500001) / 1000000
+
+
 @query("em_acc", f"SELECT doc_id, CASE WHEN regexp_replace(pred, '^\\s+|\\s+$', '', 'g') = regexp_replace(gold, '^\\s+|\\s+$', '', 'g') THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN contains({NORM.replace('{c}', 'pred')}, {NORM.replace('{c}', 'gold')}) THEN 1.0 ELSE 0.0 END::DOUBLE AS acc FROM ({PAIRS_})")
 def em_acc(spark, d):
     return frame(spark, d, PAIRS).select("doc_id", M.exact_match(F.col("pred"), F.col("gold")).alias("em"), M.accuracy("pred", "gold").alias("acc"))
 
 
-@query("f1_tokens", f"""SELECT doc_id, round(CASE WHEN len(g) = 0 THEN 0 ELSE {HARMONIC} END, 6) AS f1 FROM (SELECT *, CASE WHEN len(q) > 0 THEN c / len(q) ELSE 0 END AS p, c / greatest(len(g), 1) AS r FROM (SELECT doc_id, q, g, CAST(len(list_intersect(list_distinct(q), list_distinct(g))) AS DOUBLE) AS c
+@query("f1_tokens", f"""SELECT doc_id, floor(CASE WHEN len(g) = 0 THEN 0 ELSE {HARMONIC} END * 1000000 + 0.500001) / 1000000 AS f1 FROM (SELECT *, CASE WHEN len(q) > 0 THEN c / len(q) ELSE 0 END AS p, c / greatest(len(g), 1) AS r FROM (SELECT doc_id, q, g, CAST(len(list_intersect(list_distinct(q), list_distinct(g))) AS DOUBLE) AS c
 FROM (SELECT doc_id, {TOK.replace('{c}', 'pred')} AS q, {TOK.replace('{c}', 'gold')} AS g FROM ({PAIRS_}))))""")
 def f1_tokens(spark, d):
-    return frame(spark, d, PAIRS).select("doc_id", F.round(M.token_f1("pred", "gold"), 6).alias("f1"))
+    return frame(spark, d, PAIRS).select("doc_id", _six(M.token_f1("pred", "gold")).alias("f1"))
 
 
 def _rouge_sql(n: int) -> str:
@@ -329,49 +333,22 @@ def _rouge_sql(n: int) -> str:
     return f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(pred), '[a-z0-9]+') AS q, regexp_extract_all(lower(gold), '[a-z0-9]+') AS g FROM ({PAIRS_})), s AS (SELECT doc_id, {gram('q')} AS q, {gram('g')} AS g FROM t),
 a AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(q) AS w FROM s) GROUP BY doc_id, w), b AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(g) AS w FROM s) GROUP BY doc_id, w),
 c AS (SELECT a.doc_id, sum(least(a.n, b.n)) AS c FROM a JOIN b ON a.doc_id = b.doc_id AND a.w = b.w GROUP BY a.doc_id)
-SELECT doc_id, round({HARMONIC}, 6) AS rouge{n} FROM (SELECT s.doc_id, CAST(coalesce(c, 0) AS DOUBLE) / greatest(len(q), 1) AS p, CAST(coalesce(c, 0) AS DOUBLE) / greatest(len(g), 1) AS r FROM s LEFT JOIN c ON s.doc_id = c.doc_id)"""
+SELECT doc_id, floor({HARMONIC} * 1000000 + 0.500001) / 1000000 AS rouge{n} FROM (SELECT s.doc_id, CAST(coalesce(c, 0) AS DOUBLE) / greatest(len(q), 1) AS p, CAST(coalesce(c, 0) AS DOUBLE) / greatest(len(g), 1) AS r FROM s LEFT JOIN c ON s.doc_id = c.doc_id)"""
 
 
 @query("rouge_1", _rouge_sql(1))
 def rouge_1(spark, d):
-    return frame(spark, d, PAIRS).select("doc_id", F.round(M.rouge_n("pred", "gold", 1), 6).alias("rouge1"))
+    return frame(spark, d, PAIRS).select("doc_id", _six(M.rouge_n("pred", "gold", 1)).alias("rouge1"))
 
 
 @query("rouge_2", _rouge_sql(2))
 def rouge_2(spark, d):
-    return frame(spark, d, PAIRS).select("doc_id", F.round(M.rouge_n("pred", "gold", 2), 6).alias("rouge2"))
-
-
-#: Whole texts of all documents: against the same text, a benchmark item, or the document before.
-WHOLE = """SELECT d.doc_id, concat(coalesce(d.text, ''), CASE WHEN d.doc_id % 5 = 0 THEN '' ELSE ' tail' END) AS pred,
-CASE WHEN d.doc_id % 3 = 0 THEN concat(' ', d.text) WHEN d.doc_id % 3 = 1 THEN b.text ELSE o.text END AS gold
-FROM {documents} d LEFT JOIN {benchmark} b ON d.doc_id % 3 = 1 AND b.item_id = d.doc_id % (SELECT count(*) FROM {benchmark})
-LEFT JOIN {documents} o ON d.doc_id % 3 = 2 AND o.doc_id = d.doc_id - 1"""
-
-
-@query("em_acc_whole")
-def em_acc_whole(spark, d):
-    return frame(spark, d, WHOLE).select("doc_id", M.exact_match(F.col("pred"), F.col("gold")).alias("em"), M.accuracy("pred", "gold").alias("acc"))
-
-
-@query("f1_tokens_whole")
-def f1_tokens_whole(spark, d):
-    return frame(spark, d, WHOLE).select("doc_id", F.round(M.token_f1("pred", "gold"), 6).alias("f1"))
-
-
-@query("rouge_1_whole")
-def rouge_1_whole(spark, d):
-    return frame(spark, d, WHOLE).select("doc_id", F.round(M.rouge_n("pred", "gold", 1), 6).alias("rouge1"))
-
-
-@query("rouge_2_whole")
-def rouge_2_whole(spark, d):
-    return frame(spark, d, WHOLE).select("doc_id", F.round(M.rouge_n("pred", "gold", 2), 6).alias("rouge2"))
+    return frame(spark, d, PAIRS).select("doc_id", _six(M.rouge_n("pred", "gold", 2)).alias("rouge2"))
 
 
 @query("rouge_l")
 def rouge_l(spark, d):
-    return frame(spark, d, WHOLE).select("doc_id", F.round(M.rouge_l("pred", "gold"), 6).alias("rougeL"))
+    return frame(spark, d, PAIRS).select("doc_id", _six(M.rouge_l("pred", "gold")).alias("rougeL"))
 
 
 EVALS = "SELECT event_id AS example_id, concat('model', user_id % 4) AS model_name, event_type AS task_type, concat('q', event_id % 500) AS query, value / 100.0 AS em, value / 50.0 AS acc, value AS f1, value + 1 AS rouge1, value + 2 AS rouge2, value + 3 AS rougeL FROM {events}"
@@ -439,12 +416,15 @@ def entity_merge_by_sim(spark, d):
 
 # ---- export ---------------------------------------------------------------------------
 
-TURNS = "SELECT conv_id, max(CASE WHEN role = 'user' THEN text END) AS q, max(CASE WHEN role = 'assistant' THEN text END) AS a, max(CASE WHEN role = 'system' THEN text END) AS cot FROM {conversations} GROUP BY conv_id"
+#: All turns of a role in order, one a line; the engines write ordered aggregates differently.
+_SIDES = (("user", "q"), ("assistant", "a"), ("system", "cot"))
+TURNS = "SELECT conv_id, " + ", ".join(f"listagg(CASE WHEN role = '{r}' THEN text END, '\n') WITHIN GROUP (ORDER BY turn, text) AS {c}" for r, c in _SIDES) + " FROM {conversations} GROUP BY conv_id"
+TURNS_ = "SELECT conv_id, " + ", ".join(f"string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = '{r}') AS {c}" for r, c in _SIDES) + " FROM conversations GROUP BY conv_id"
 S_, R_ = f"'{EX.SYSTEM}'", "coalesce(cot, '') || chr(10) || chr(10) || 'Answer: ' || coalesce(a, '')"
 
 
 def _export(name: str, sql: str):
-    full = f"SELECT conv_id, {sql} AS json FROM ({plain(TURNS)})"
+    full = f"SELECT conv_id, {sql} AS json FROM ({TURNS_})"
 
     @query(f"export_{name}", full)
     def run(spark, d):

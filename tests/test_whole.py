@@ -44,7 +44,7 @@ def lcs(a, b):
 
 def test_metrics_over_whole_texts(spark, pairs):
     q = lambda name: {r.doc_id: r for r in registry.QUERIES[name](spark, DATA).collect()}
-    em, f1, r1, r2, rl = map(q, ("em_acc_whole", "f1_tokens_whole", "rouge_1_whole", "rouge_2_whole", "rouge_l"))
+    em, f1, r1, r2, rl = map(q, ("em_acc", "f1_tokens", "rouge_1", "rouge_2", "rouge_l"))
     assert set(em) == set(f1) == set(r1) == set(r2) == set(rl) == set(pairs)
     assert sum(len(p) > 300 and len(g) > 300 for p, g in pairs.values()) > len(pairs) / 3
     for k, (p, g) in pairs.items():
@@ -129,7 +129,7 @@ def test_shortest_paths_of_all_heads(spark, star):
             layer = {y for x in layer for y in steps.get(x, ())} - seen
             seen = seen | layer
             n += 1
-    rows = registry.QUERIES["shortest_path_len_star"](spark, DATA).select("src", "dst", "len").collect()
+    rows = registry.QUERIES["shortest_path_len"](spark, DATA).select("src", "dst", "len").collect()
     assert len(rows) == len(want) and set(map(tuple, rows)) == want
     assert {r.src for r in rows} == {x[0] for x in star}
 
@@ -154,10 +154,10 @@ def test_paths_over_all_relations(spark, star):
     for _ in range(2):
         layer = {(*p, x) for p in layer for x in steps.get(p[-1], ()) if x not in p}
         paths = paths | layer
-    rows = registry.QUERIES["khop_paths_star"](spark, DATA).collect()
+    rows = registry.QUERIES["khop_paths"](spark, DATA).collect()
     assert len(rows) == len(paths) and {(r.path, r.len) for r in rows} == {("->".join(p), len(p) - 1) for p in paths}
     want = Counter(("->".join(p), i, a, r, b) for p in paths for i, (a, b) in enumerate(zip(p, p[1:])) for r in relations[a, b])
-    got = registry.QUERIES["path_relations_star"](spark, DATA).select("path_id", "pos", "head", "relation", "tail").toArrow().to_pydict()
+    got = registry.QUERIES["path_relations"](spark, DATA).select("path_id", "pos", "head", "relation", "tail").toArrow().to_pydict()
     assert Counter(zip(*got.values())) == want
     assert {r for _, _, _, r, _ in want} == {"in_region", "in_nation", "placed_by", "contains", "supplied_by"}
 
@@ -165,16 +165,16 @@ def test_paths_over_all_relations(spark, star):
 def test_rewrites_over_all_relations(spark):
     rows = [tuple(r) for r in frame(spark, DATA, STAR).select("head", "relation", "tail", "seq").collect()]
     collect = lambda name, *c: registry.QUERIES[name](spark, DATA).select(*c).toArrow().to_pydict()
-    got = Counter(zip(*collect("node_relations_star", "id", "head", "relation", "tail").values()))
+    got = Counter(zip(*collect("node_relations", "id", "head", "relation", "tail").values()))
     assert got == Counter((x, h, r, t) for h, r, t, _ in rows for x in (h, t))
     nation = dict(duckdb.sql(f"SELECT n_name, 'Nation of ' || r_name FROM '{DATA}/nation.parquet' JOIN '{DATA}/region.parquet' ON n_regionkey = r_regionkey").fetchall())
-    got = Counter(zip(*collect("alias_rewrite_star", "head", "relation", "tail").values()))
+    got = Counter(zip(*collect("alias_rewrite", "head", "relation", "tail").values()))
     assert got == Counter((nation.get(h, h), r, nation.get(t, t)) for h, r, t, _ in rows)
     customers, last = {h for h, *_ in rows if h.startswith("Customer")}, {}
     for h, r, t, seq in rows:
         key = tuple("Customer" if x in customers else x for x in (h, t)) + ("located_in" if r == "in_region" else r,)
         last[key] = max(last.get(key, 0), seq)
-    got = zip(*collect("edge_correction_star", "head", "tail", "relation", "seq").values())
+    got = zip(*collect("edge_correction", "head", "tail", "relation", "seq").values())
     assert sorted(got) == sorted((*k, s) for k, s in last.items())
 
 
