@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from loomgraph.functions.stem import stem
 from loomgraph.functions.text import strip, tokens
 
 
@@ -47,15 +48,20 @@ def _rouge_tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(_norm(c), F.lit("([a-z0-9]+)"), 1)
 
 
-def rouge_n(pred: str, gold: str, n: int) -> Column:
-    """F measure over n-gram multisets of [a-z0-9]+ tokens (no stemming), linear in the texts' lengths."""
+def _stems(words, stemming: bool) -> list[str]:
+    """Tokens of more than three letters by their stems."""
+    return [stem(w) if len(w) > 3 else w for w in words] if stemming else list(words)
+
+
+def rouge_n(pred: str, gold: str, n: int, stemming: bool = False) -> Column:
+    """F measure over n-gram multisets of [a-z0-9]+ tokens, linear in the texts' lengths."""
     grams = lambda t: Counter(zip(*(t[i:] for i in range(n))))
 
     @F.pandas_udf(DoubleType())
     def measure(p: pd.Series, g: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(p, g):
-            x, y = grams(list(a)), grams(list(b))
+            x, y = grams(_stems(a, stemming)), grams(_stems(b, stemming))
             common = (x & y).total()
             out.append(2 * common / (x.total() + y.total()) if common else 0.0)
         return pd.Series(out)
@@ -76,15 +82,16 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - v.bit_count()
 
 
-@F.pandas_udf(DoubleType())
-def _rouge_l(p: pd.Series, g: pd.Series) -> pd.Series:
-    out = []
-    for a, b in zip(p, g):
-        a, b = list(a), list(b)
-        n = lcs(a, b) if a and b else 0
-        out.append(2 * n / (len(a) + len(b)) if n else 0.0)
-    return pd.Series(out)
+def rouge_l(pred: str, gold: str, stemming: bool = False) -> Column:
+    """F measure of the longest common subsequence of [a-z0-9]+ tokens."""
 
+    @F.pandas_udf(DoubleType())
+    def measure(p: pd.Series, g: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(p, g):
+            a, b = _stems(a, stemming), _stems(b, stemming)
+            n = lcs(a, b) if a and b else 0
+            out.append(2 * n / (len(a) + len(b)) if n else 0.0)
+        return pd.Series(out)
 
-def rouge_l(pred: str, gold: str) -> Column:
-    return _rouge_l(_rouge_tokens(pred), _rouge_tokens(gold))
+    return measure(_rouge_tokens(pred), _rouge_tokens(gold))

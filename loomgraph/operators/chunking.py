@@ -41,18 +41,7 @@ def paragraphs(text: str, c: ChunkConfig) -> Iterator[str]:
         if len(block) <= c.max_size:
             yield block
         else:
-            yield from _packed_lines(block, c.max_size)
-
-
-def _packed_lines(block: str, most: int) -> list[str]:
-    # the first line of a pack also pays for a line break that it doesn't get
-    out: list[str] = []
-    for line in filter(None, map(str.strip, block.split("\n"))):
-        if out and len(out[-1]) + 1 + len(line) <= most:
-            out[-1] += "\n" + line
-        else:
-            out.append(line)
-    return out
+            yield from fold_pieces(filter(None, map(str.strip, block.split("\n"))), c.max_size, "\n")
 
 
 def _by_separator(piece: str, sep: str, most: int) -> list[str]:

@@ -187,7 +187,7 @@ def evaluation(predictions: DataFrame) -> DataFrame:
     p = predictions.withColumn("prediction", P.answer("response")).where("prediction is not null")
     return p.withColumns({
         "em": M.exact_match(F.col("prediction"), F.col("gold_answer")), "acc": M.accuracy("prediction", "gold_answer"), "f1": M.token_f1("prediction", "gold_answer"),
-        "rouge1": M.rouge_n("prediction", "gold_answer", 1), "rouge2": M.rouge_n("prediction", "gold_answer", 2), "rougeL": M.rouge_l("prediction", "gold_answer"),
+        "rouge1": M.rouge_n("prediction", "gold_answer", 1, True), "rouge2": M.rouge_n("prediction", "gold_answer", 2, True), "rougeL": M.rouge_l("prediction", "gold_answer", True),
     })
 
 
