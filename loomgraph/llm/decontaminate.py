@@ -5,7 +5,8 @@ A shard is a bounded run of a task's documents. Its words become symbols of the
 benchmark's vocabulary; a run of such words too short for any window cannot hold an
 occurrence and is left out, other words separate. The FM-index over the runs is asked for
 all phrases at once by backward search; occurrences come from sampled suffix positions
-and are merged into removal spans. Documents are never shuffled.
+and are merged into removal spans. Words are compared by hash in the index and by their
+bytes wherever a window occurs. Documents are never shuffled.
 
 The benchmark goes to the workers in blocks of at most ``block_bytes`` of text; where it
 is larger, documents pass once for each block and the spans add up.
@@ -28,34 +29,44 @@ from pyspark.sql import types as T
 
 from loomgraph.llm.columns import SLAB_BYTES, slabs, string_buffers
 from loomgraph.llm.fm_index import FMIndex
-from loomgraph.llm.texthash import NOT_ALNUM, words
+from loomgraph.llm.texthash import FOLD, NOT_ALNUM, words
+from loomgraph.llm.workers import mapped
+from loomgraph.scratch import materialize
 
 WINDOW = 13
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_WORDS = 1 << 21
 ADDED = [("leak_words", T.LongType()), ("leak_spans", T.ArrayType(T.LongType())), ("leak_items", T.ArrayType(T.LongType()))]
 
 
 class Phrases:
-    """Windows of benchmark items as symbol matrices, one for each window length."""
+    """Windows of benchmark items as places in one array of symbols; made once, then sent.
+
+    About 6 bytes a byte of benchmark text are held.
+    """
 
     def __init__(self, items: list[tuple[int, str]], window: int):
-        column = pa.array([t for _, t in items], pa.large_string())
-        data, offsets = string_buffers(column)
-        _, _, row, hashes = words(data, offsets, NOT_ALNUM)
-        self.vocabulary = np.unique(hashes)
-        symbols = np.searchsorted(self.vocabulary, hashes) + 1
-        at = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(items)))])
-        found: dict[int, dict[bytes, set[int]]] = {}
-        for i, (item, _) in enumerate(items):
-            own = symbols[at[i] : at[i + 1]]
-            n = min(window, len(own))
-            for j in range(len(own) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(own[j : j + n].tobytes(), set()).add(item)
-        self.by_length = [
-            (n, np.stack([np.frombuffer(k, symbols.dtype) for k in own]), [sorted(v) for v in own.values()]) for n, own in sorted(found.items())
-        ]
-        self.shortest = min(found, default=0)
+        data, offsets = string_buffers(pa.array([t for _, t in items], pa.large_string()))
+        begin, end, row, hashes = words(data, offsets, NOT_ALNUM)
+        self.vocabulary, first, symbols = np.unique(hashes, return_index=True, return_inverse=True)
+        self.symbols = (symbols + 1).astype(np.int32)
+        # the bytes of every known word, against which occurrences are held
+        self.ends = np.cumsum((end - begin)[first])
+        self.bytes = FOLD[np.frombuffer(b"".join(data[x:y].tobytes() for x, y in zip(begin[first], end[first])), np.uint8)].tobytes()
+        counts = np.bincount(row, minlength=len(items))
+        lengths = np.minimum(counts, window)
+        self.by_length: list[tuple[int, np.ndarray, np.ndarray]] = []
+        at = np.cumsum(counts) - counts
+        ids = np.array([i for i, _ in items], np.int64)
+        for n in np.unique(lengths[lengths > 0]).tolist():
+            own = np.flatnonzero(lengths == n)
+            many = counts[own] - n + 1
+            starts = np.repeat(at[own] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            self.by_length.append((n, starts.astype(np.int32), np.repeat(ids[own], many)))
+        self.shortest = self.by_length[0][0] if self.by_length else 0
+
+    def spelled(self, symbol: int) -> bytes:
+        return self.bytes[self.ends[symbol - 2] if symbol > 1 else 0 : self.ends[symbol - 1]]
 
 
 class Shard:
@@ -66,7 +77,7 @@ class Shard:
 
     def add(self, first_row: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Takes a slab's runs; returns words per row."""
-        _, _, row, hashes = words(data, offsets, NOT_ALNUM)
+        first, last, row, hashes = words(data, offsets, NOT_ALNUM)
         counts = np.bincount(row, minlength=len(offsets) - 1)
         vocabulary = self.phrases.vocabulary
         if self.phrases.shortest and len(hashes):
@@ -80,8 +91,10 @@ class Shard:
             use = known[begin] & (end - begin >= self.phrases.shortest)
             starts = np.concatenate([[0], np.cumsum(counts)])
             for b, e in zip(begin[use].tolist(), end[use].tolist()):
-                self.where.append((self.size, first_row + int(row[b]), b - int(starts[row[b]])))
-                self.parts.append(np.append(at[b:e] + 1, 0))
+                raw = FOLD[data[first[b] : last[e - 1]]].tobytes()
+                self.where.append((self.size, first_row + int(row[b]), b - int(starts[row[b]]), raw, first[b:e] - first[b], last[b:e] - first[b]))
+                self.parts.append((at[b:e] + 1).astype(np.int32))
+                self.parts.append(np.zeros(1, np.int32))
                 self.size += e - b + 1
         return counts
 
@@ -89,24 +102,29 @@ class Shard:
         out: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
         if not self.parts:
             return out
-        text = np.concatenate(self.parts)
-        index = FMIndex(text, len(self.phrases.vocabulary) + 1)
+        index = FMIndex(np.concatenate(self.parts), len(self.phrases.vocabulary) + 1)
         begins = np.array([w[0] for w in self.where])
-        for n, matrix, items in self.phrases.by_length:
-            low, high = index.ranges(matrix)
+        for n, starts, items in self.phrases.by_length:
+            low, high = index.search(self.phrases.symbols, starts, n)
             hit = np.flatnonzero(high > low)
             if not len(hit):
                 continue
             many = high[hit] - low[hit]
-            rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            rows = np.repeat(low[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
             phrase = np.repeat(hit, many)
             at = index.locate(rows)
             run = np.searchsorted(begins, at, side="right") - 1
+            same: dict[tuple[int, int], bool] = {}
             for p, a, r in zip(phrase.tolist(), at.tolist(), run.tolist()):
-                begin, row, word = self.where[r]
-                spans, found = out.setdefault(row, ([], set()))
-                spans.append((word + a - begin, word + a - begin + n))
-                found.update(items[p])
+                begin, row, word, raw, x, y = self.where[r]
+                if (r, a) not in same:  # equal hashes are held against the words' bytes
+                    own = self.phrases.symbols[starts[p] : starts[p] + n].tolist()
+                    k = a - begin
+                    same[r, a] = all(raw[x[k + j] : y[k + j]] == self.phrases.spelled(c) for j, c in enumerate(own))
+                if same[r, a]:
+                    spans, found = out.setdefault(row, ([], set()))
+                    spans.append((word + a - begin, word + a - begin + n))
+                    found.add(int(items[p]))
         return out
 
 
@@ -146,8 +164,11 @@ def _annotated(batch: pa.RecordBatch, text: str, phrases: Phrases, schema: pa.Sc
     return pa.RecordBatch.from_arrays([added.get(f.name, None) if f.name in added else batch.column(f.name) for f in schema], names=schema.names)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with leak_words (words of the text), leak_spans (flat merged word intervals) and leak_items."""
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text", block_bytes: int = BLOCK_BYTES, remove: bool = False) -> DataFrame:
+    """docs with leak_words (words of the text), leak_spans (flat merged word intervals) and leak_items.
+
+    remove: the spans are cut out of the texts, too, in the same pass as the last block.
+    """
     docs = docs.drop(*(n for n, _ in ADDED))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -156,14 +177,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text
     names = schema.names
     for k in range(blocks):
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()]
-        sent = docs.sparkSession.sparkContext.broadcast(own)
+        sent = docs.sparkSession.sparkContext.broadcast(Phrases(own, window))
 
-        def annotate(batches, sent=sent):
-            phrases = Phrases(sent.value, window)
+        def annotate(batches, sent=sent, remove=remove and k == blocks - 1):
             for b in batches:
-                yield _annotated(b, text, phrases, pa.schema([(n, pa.null()) for n in names]))
+                out = _annotated(b, text, sent.value, pa.schema([(n, pa.null()) for n in names]))
+                yield _without_spans(out, text) if remove else out
 
-        docs = docs.mapInArrow(annotate, schema)
+        docs = docs.transform(mapped, annotate, schema)
+        if k < blocks - 1:
+            docs = materialize(docs, "leaks")  # one worker a task, however many blocks there are
     return docs
 
 
@@ -173,26 +196,29 @@ def n_hit() -> F.Column:
                        lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")), lambda a: a["sum"])
 
 
+def _without_spans(b: pa.RecordBatch, text: str) -> pa.RecordBatch:
+    out = b.column(text).to_pylist()
+    for i, s in enumerate(b.column("leak_spans").to_pylist()):
+        if s:
+            raw = out[i].encode()
+            data = np.frombuffer(raw, np.uint8)
+            begin, end, _, _ = words(data, np.array([0, len(data)]), NOT_ALNUM, hashed=False)
+            parts, at = [], 0
+            for x, y in zip(s[::2], s[1::2]):
+                parts.append(raw[at : begin[x]])
+                at = end[y - 1]
+            out[i] = b" ".join([*parts, raw[at:]]).decode()
+    return b.set_column(b.schema.get_field_index(text), text, pa.array(out, pa.string()))
+
+
 def remove_leaks(found: DataFrame, text: str = "text") -> DataFrame:
     """Cuts the removal spans out of the texts; one space stays in place of each."""
 
     def cut(batches):
         for b in batches:
-            spans, out = b.column("leak_spans").to_pylist(), b.column(text).to_pylist()
-            for i, s in enumerate(spans):
-                if s:
-                    raw = out[i].encode()
-                    data = np.frombuffer(raw, np.uint8)
-                    begin, end, _, _ = words(data, np.array([0, len(data)]), NOT_ALNUM, hashed=False)
-                    parts, at = [], 0
-                    for x, y in zip(s[::2], s[1::2]):
-                        parts.append(raw[at : begin[x]])
-                        at = end[y - 1]
-                    out[i] = b" ".join([*parts, raw[at:]]).decode()
-            k = b.schema.get_field_index(text)
-            yield b.set_column(k, text, pa.array(out, pa.string()))
-
-    return found.mapInArrow(cut, found.schema)
+            yield _without_spans(b, text)
+
+    return found.transform(mapped, cut, found.schema)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

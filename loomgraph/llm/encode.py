@@ -23,6 +23,8 @@ from pathlib import Path
 
 import numpy as np
 
+from loomgraph.llm.workers import remembers
+
 #: White space for which the library's pattern and ours could differ on where a run ends.
 SPACES = [9, 11, 12, 13, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 OTHER_SPACE = re.compile("[" + "".join(map(chr, SPACES)) + "]")
@@ -91,8 +93,9 @@ class Encoder:
             ends = np.cumsum([len(c.encode()) for c in stands])
             at = np.cumsum(self.bytes_of[ids])
             stop = np.searchsorted(at, ends) + 1
-            if len(at) < stop[-1] or (at[stop - 1] != ends).any():
-                raise AssertionError("tokens do not end where their chunks do")
+            if len(at) < stop[-1] or (at[stop - 1] != ends).any():  # tokens that do not end where chunks do: one by one
+                self.new.update((c, self.whole(c)) for c in some)
+                continue
             raw = ids.tobytes()
             start = np.concatenate([[0], stop[:-1]])
             for c, x, y in zip(some, (4 * start).tolist(), (4 * stop).tolist()):
@@ -125,9 +128,12 @@ class Encoder:
         return self._group([text])[0]
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@lru_cache(maxsize=1)
+def encoder(path: str, room: int = ROOM) -> Encoder:
+    return Encoder(path, room)
+
+
+remembers("encode", encoder.cache_clear)
 
 
 def resolve(name_or_path: str) -> str:

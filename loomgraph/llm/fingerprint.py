@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.idfilter import keep_listed
 from loomgraph.llm.token_store import _schema
+from loomgraph.llm.workers import mapped
 from loomgraph.scratch import materialize
 
 
@@ -51,7 +52,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(digest, texts), pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
-    return rows.mapInArrow(make, "doc_id long, n_chars long, fingerprint string")
+    return rows.transform(mapped, make, "doc_id long, n_chars long, fingerprint string")
 
 
 def differing(docs: DataFrame, made: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -79,7 +80,7 @@ def differing(docs: DataFrame, made: DataFrame, key: str = "doc_id", text: str =
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own, pa.string())], names=["doc_id", "own"])
 
-    return texts.join(first, "leader").select("doc_id", "fingerprint", "text", "leader_text").mapInArrow(compare, "doc_id long, own string")
+    return texts.join(first, "leader").select("doc_id", "fingerprint", "text", "leader_text").transform(mapped, compare, "doc_id long, own string")
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -143,7 +144,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before is not None:
             yield _edits([(2, part, *before, None, before[1])])
 
-    made = materialize(rows.mapInArrow(in_order, EDITED), "edited")
+    made = materialize(rows.transform(mapped, in_order, EDITED), "edited")
     parts = [r.part for r in made.where("kind = 1").select("part").orderBy("part").collect()]  # one row a task
     seams = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next_part int")
     last = made.where("kind = 2").select("part", "doc_id", "text")
@@ -155,7 +156,7 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
                 part, doc, text, after = (b.column(i).to_pylist() for i in range(4))
                 yield _edits([(0, *x, None) for x in zip(part, doc, text, after)])
 
-    ends = last.join(seams, "part").join(first, "next_part").select("part", "doc_id", "text", "next_text").mapInArrow(at_seams, EDITED)
+    ends = last.join(seams, "part").join(first, "next_part").select("part", "doc_id", "text", "next_text").transform(mapped, at_seams, EDITED)
     ends = materialize(ends, "seams")
     all_ = made.where("kind = 0").unionByName(ends).drop("kind", "part", "text")
     final = _settled(docs, all_)

@@ -90,13 +90,16 @@ class FMIndex:
     def ranges(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search of all rows of a matrix of patterns at once: row ranges [low, high)."""
         m, length = patterns.shape
-        low, high = np.zeros(m, np.int64), np.full(m, self.first[-1])
+        return self.search(patterns.reshape(-1), np.arange(m) * length, length)
+
+    def search(self, symbols: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the patterns of one length that begin at ``starts`` in an array of symbols."""
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), self.first[-1])
         for j in range(length - 1, -1, -1):
-            c = patterns[:, j]
             live = np.flatnonzero(low < high)
             if not len(live):
                 break
-            c = c[live]
+            c = symbols[starts[live] + j].astype(np.int64)
             low[live] = self.first[c] + self.wavelet.rank(c, low[live])
             high[live] = self.first[c] + self.wavelet.rank(c, high[live])
         return low, np.maximum(low, high)

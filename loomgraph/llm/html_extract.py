@@ -1,8 +1,8 @@
 """HTML main-text extraction by a tree-structured graphical model over DOM nodes.
 
 Every element has a hidden label, content or not. Unary potentials are its observed
-features given the label (words of class, id and role, link density, text length,
-sentence marks); parent-child potentials tie an element to its parent, by its tag. Sum-product
+features given the label (words of class, id and role, link density, depth, and of its own
+text the length, share and place in the page's, first sign and sentence marks); parent-child potentials tie an element to its parent, by its tag. Sum-product
 messages go up the tree, then down, and give each element's exact marginal. All
 potentials are smoothed counts over labelled pages, which ``labelled_pages`` composes from
 a seeded description of page layouts (the tables hold no page labels).
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from functools import lru_cache
 
@@ -28,31 +29,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.dom import INLINE, Node, attributes, parse
+from loomgraph.llm.workers import mapped
 
-TRAIN_PAGES, TRAIN_SEED = 400, 5
+TRAIN_PAGES, TRAIN_SEED = 1500, 5
 NAME = re.compile(r"[a-z]+")
 #: Features that say the same thing in part count for less.
-WEIGHT = {"name": 1.0, "links": 0.5, "size": 0.3, "marks": 0.3}
+WEIGHT = {"name": 1.0, "links": 0.5, "size": 0.4, "marks": 0.4, "share": 0.6, "depth": 0.3, "place": 0.4, "opens": 0.4}
+FRAME = {"#page", "html", "head", "body"}
+SHARES = (0.02, 0.1, 0.3, 0.6, 0.9)
+PLACES = (0.0, 0.1, 0.5, 0.9)
 SENTENCE = re.compile(r"[.!?][\"')\]]*(?:\s|$)")
 
 
+def _kind(ch: str) -> str:
+    return "upper" if ch.isupper() else "letter" if ch.isalpha() else "digit" if ch.isdigit() else ch if ch in "©" else "sign"
+
+
 def observe(nodes: list[Node], pieces: list[tuple[int, str | None]]) -> list[list[tuple[str, str]]]:
-    """Features of each element."""
+    """Features of each element. Its own text is what stands in it or in its inline elements."""
     n = len(nodes)
-    length, linked, marks = [0] * n, [0] * n, [0] * n
+    own_size, marks, depth, begin, opens = [0] * n, [0] * n, [0] * n, [-1] * n, [""] * n
+    before = 0
     for k, text in pieces:
         if text:
-            size = len(text) - text.count(" ") if len(text) < 64 else len(text)
-            length[k] += size
-            marks[k] += len(SENTENCE.findall(text)) if size > 20 else 0
-    for k in range(n - 1, -1, -1):  # children come after their parents
-        if nodes[k].tag == "a":
-            linked[k] = length[k]
+            size = len(text) - sum(map(text.count, " \n\t\r"))
+            own_size[k] += size
+            marks[k] += len(SENTENCE.findall(text)) if size > 16 else 0
+            if size and begin[k] < 0:
+                begin[k], opens[k] = before, _kind(text.lstrip()[0])
+            before += size
+    size, linked = list(own_size), [0] * n
+    for k in range(n - 1, 0, -1):  # children come after their parents
         p = nodes[k].parent
-        if p >= 0:
-            length[p] += length[k]
-            linked[p] += linked[k]
+        if nodes[k].tag == "a":
+            linked[k] = size[k]
+        size[p] += size[k]
+        linked[p] += linked[k]
+        if nodes[k].tag in INLINE:
+            own_size[p] += own_size[k]
             marks[p] += marks[k]
+            if begin[k] >= 0 and not 0 <= begin[p] < begin[k]:
+                begin[p], opens[p] = begin[k], opens[k]
+    for k in range(1, n):
+        depth[k] = depth[nodes[k].parent] + (nodes[k].tag not in INLINE and nodes[k].tag not in FRAME)
     out = []
     for k, node in enumerate(nodes):
         own: list[tuple[str, str]] = []
@@ -60,14 +79,16 @@ def observe(nodes: list[Node], pieces: list[tuple[int, str | None]]) -> list[lis
             a = attributes(node)
             names = set(NAME.findall(" ".join((a.get("class", ""), a.get("id", ""), a.get("role", ""))).lower()))
             own += [("name", w) for w in sorted(names)]
-        if node.tag in INLINE:
-            out.append(own)
-            continue
-        size = length[k]
-        share = linked[k] / size if size else -1
-        own.append(("links", "none" if share < 0 else "0" if share == 0 else "low" if share < 0.2 else "some" if share < 0.6 else "most"))
-        own.append(("size", str(min(4, int(math.log(size + 1, 4))))))
-        own.append(("marks", str(min(marks[k], 2))))
+        if node.tag not in INLINE and node.tag not in FRAME:
+            share = linked[k] / size[k] if size[k] else -1
+            own.append(("links", "none" if share < 0 else "0" if share == 0 else "low" if share < 0.2 else "some" if share < 0.6 else "most"))
+            own.append(("depth", str(min(depth[k], 6))))
+            if own_size[k]:
+                own.append(("size", str(min(4, int(math.log(own_size[k] + 1, 4))))))
+                own.append(("marks", str(min(marks[k], 2))))
+                own.append(("share", str(bisect_left(SHARES, own_size[k] / size[0]))))
+                own.append(("place", str(bisect_left(PLACES, begin[k] / size[0])) + str(int(begin[k] + own_size[k] == size[0]))))
+                own.append(("opens", opens[k]))
         out.append(own)
     return out
 
@@ -201,12 +222,14 @@ def _article(rng: random.Random) -> str:
         body = _sentences(rng, rng.choice([1, 1, 2, 4, 8, 20])) if rng.random() < 0.85 else _words(rng, rng.choice([1, 3, 20, 150]))
         if rng.random() < 0.3:
             body = rng.choice([f"<b>{body}", f"<em>{body}</em>", f'{body} <a href="/y">{_words(rng, 2)}</a> {_sentences(rng, 2)}', body + "<br>"])
-        if r < 0.75:
+        if r < 0.72:
             parts.append(f"<p>{body}" + ("</p>" if rng.random() < 0.8 else ""))
-        elif r < 0.82:
+        elif r < 0.78:
             parts.append(f"<h2>{_words(rng, 3)}</h2><p>{body}</p>")
-        elif r < 0.9:
+        elif r < 0.84:
             parts.append("<ul>" + "".join(f"<li>{_sentences(rng, 1)}</li>" for _ in range(rng.randint(2, 5))) + "</ul>")
+        elif r < 0.91:  # what an article lists may be links
+            parts.append("<ul>" + "".join(f'<li><a href="/z">{_words(rng, rng.randint(1, 3))}</a></li>' for _ in range(rng.randint(2, 4))) + "</ul>")
         elif r < 0.94:
             parts.append(f"<blockquote><p>{body}</p></blockquote>")
         elif r < 0.97:
@@ -215,6 +238,8 @@ def _article(rng: random.Random) -> str:
             parts.append(f"<pre>{body}</pre>")
         if rng.random() < 0.08:
             parts.append(_boiler(rng, rng.choice(["ad", "share", "aside", "form", "notice"])))
+    if rng.random() < 0.08:  # a line said over and over
+        parts += [f"<p>{_sentences(rng, 1) if rng.random() < 0.5 else _words(rng, 1)}</p>"] * rng.randint(10, 80)
     if rng.random() < 0.15:
         parts.append(_boiler(rng, "comments"))
     tag = rng.choice(["article", "article", "article", "main", "div", "section", ""])
@@ -223,16 +248,30 @@ def _article(rng: random.Random) -> str:
     return _named(rng, tag, CONTENT, 1, "".join(parts), 1.0 if tag in ("div", "section") else 0.4)
 
 
+SECTIONS = re.compile(r"<(/?)(?:article|nav|header|footer|aside|main|section)\b")
+
+
 def labelled_pages(n: int = TRAIN_PAGES, seed: int = TRAIN_SEED) -> list[str]:
-    """Pages whose elements say in data-y from where on they are content (1) or not (0)."""
+    """Pages whose elements say in data-y from where on they are content (1) or not (0).
+
+    A third has no sectioning tags, so that those alone tell nothing; some articles lie in
+    nested divs without names, and some pages are an article and nothing else.
+    """
     rng, out = random.Random(seed), []
     for _ in range(n):
+        article = _article(rng)
+        if rng.random() < 0.1:
+            out.append(f'<div data-y="1">{article}</div>' if rng.random() < 0.5 else re.sub(r"<(p|h1|h2|ul|blockquote|table|pre)>", r'<\1 data-y="1">', article))
+            continue
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            article = f'<div data-y="1">{article}</div>'
         before = [_boiler(rng, k) for k in ("notice", "header", "nav", "ad", "form") if rng.random() < 0.5]
         after = [_boiler(rng, k) for k in ("share", "comments", "aside", "ad", "form", "footer", "notice") if rng.random() < 0.5]
-        inner = "".join([*before, _article(rng), *after])
+        inner = "".join([*before, article, *after])
         if rng.random() < 0.3:
             inner = _named(rng, "div", CONTENT, 0, inner)
-        out.append(f'<!DOCTYPE html><html data-y="0"><head></head><body>{inner}</body></html>')
+        page = f'<!DOCTYPE html><html data-y="0"><head></head><body>{inner}</body></html>'
+        out.append(SECTIONS.sub(r"<\1div", page) if rng.random() < 0.33 else page)
     return out
 
 
@@ -249,7 +288,7 @@ def model() -> TreeModel:
     return TreeModel(pages)
 
 
-def extract(page: str | None) -> str:
+def extract(page: str | None, fitted: TreeModel | None = None) -> str:
     """The main text of one page."""
     if not page:
         return ""
@@ -257,7 +296,7 @@ def extract(page: str | None) -> str:
     if len(nodes) == 1:
         keep = [1.0]
     else:
-        keep = model().marginals(nodes, observe(nodes, pieces))
+        keep = (fitted or model()).marginals(nodes, observe(nodes, pieces))
     blocks, block = [], []
     for k, text in [*pieces, (0, None)]:
         if text is None:
@@ -276,12 +315,13 @@ def extract_text(pages: DataFrame, html: str = "html", column: str = "text") ->
 
     kept = [f for f in pages.schema.fields if f.name not in (html, column)]
     rows = pages.select(html, *(f.name for f in kept))
+    sent = pages.sparkSession.sparkContext.broadcast(model())  # of the size of its features, which the layouts bound
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(map(extract, b.column(0).to_pylist()), pa.string()), *b.columns[1:]], names=[column, *(f.name for f in kept)])
+            yield pa.RecordBatch.from_arrays([pa.array([extract(p, sent.value) for p in b.column(0).to_pylist()], pa.string()), *b.columns[1:]], names=[column, *(f.name for f in kept)])
 
-    return rows.mapInArrow(run, T.StructType([T.StructField(column, T.StringType()), *kept]))
+    return rows.transform(mapped, run, T.StructType([T.StructField(column, T.StringType()), *kept]))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

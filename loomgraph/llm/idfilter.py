@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.workers import mapped
+
 LEAST_BITS, MOST_BITS = 16, 27
 
 
@@ -53,4 +55,4 @@ def keep_listed(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
             if out.num_rows:
                 yield pa.RecordBatch.from_arrays(out.columns[: len(names)], names=names)
 
-    return rows.withColumn("idfilter_place", place(key, made[1])).mapInArrow(keep, rows.schema)
+    return rows.withColumn("idfilter_place", place(key, made[1])).transform(mapped, keep, rows.schema)

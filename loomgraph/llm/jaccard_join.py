@@ -45,6 +45,7 @@ from loomgraph.llm.columns import slabs, string_buffers
 from loomgraph.llm.idfilter import bitmap, holds, keep_listed, place
 from loomgraph.llm.perfect_hash import mix
 from loomgraph.llm.texthash import SPACE, chain, shingle_rows, words
+from loomgraph.llm.workers import mapped
 from loomgraph.operators.components import connected_components
 from loomgraph.scratch import drop, materialize
 
@@ -166,13 +167,13 @@ def indexed_sets(texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     b.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(odd, pa.binary()), pa.array(entries, pa.binary()),
                 ], names=[c.split()[0] for c in SETS.split(", ")])
 
-    return texts.mapInArrow(index, SETS)
+    return texts.transform(mapped, index, SETS)
 
 
 def indexed_again(texts: DataFrame, wanted: DataFrame, frequent: np.ndarray, width: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, rare, entries, digest) of the wanted documents (column id) under a frequent class."""
+    """(doc_id, n, rare, entries, digest) of the wanted documents (id, own: its set's digest) under a frequent class."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
-    made = bitmap(wanted)
+    made = bitmap(wanted.select("id"))
     listed = texts.sparkSession.sparkContext.broadcast(made[0]) if made else None
     rows = texts.select("doc_id", "text", place("doc_id", made[1]) if made else F.lit(0).cast("long"))
 
@@ -196,8 +197,8 @@ def indexed_again(texts: DataFrame, wanted: DataFrame, frequent: np.ndarray, wid
                     names=[c.split()[0] for c in INDEXED.split(", ")],
                 )
 
-    found = rows.mapInArrow(index, INDEXED)
-    return found.where("octet_length(entries) > 0").join(wanted, found.doc_id == wanted.id, "left_semi")
+    found = rows.transform(mapped, index, INDEXED)
+    return found.where("octet_length(entries) > 0").join(wanted, (found.doc_id == wanted.id) & (found.digest == wanted.own), "left_semi")
 
 
 #: What a task of the dealt entries finds: pairs (a, b) of small groups, or entries (token, document) of large ones.
@@ -301,8 +302,8 @@ def meetings(indexed: DataFrame, total: int, num: int, den: int) -> DataFrame:
         pairs = np.unique(np.concatenate(found), axis=0)
         yield from out(PAIRS, np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1]))
 
-    dealt = indexed.select("doc_id", "n", "entries").mapInArrow(deal, "place int, hot boolean, sig binary, doc binary, n binary")
-    return dealt.repartition(parts, "place").mapInArrow(take, "kind int, x long, y long")
+    dealt = indexed.select("doc_id", "n", "entries").transform(mapped, deal, "place int, hot boolean, sig binary, doc binary, n binary")
+    return dealt.repartition(parts, "place").transform(mapped, take, "kind int, x long, y long")
 
 
 def sets_of(texts: list[str], width: int, seed: int = 3) -> list[np.ndarray]:
@@ -330,7 +331,7 @@ def possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 differ = np.fromiter(map(map_difference, b.column(4).to_pylist(), b.column(5).to_pylist()), np.int64, b.num_rows)
                 yield b.select(["a", "b"]).filter(pa.array(differ * (den + num) <= n * (den - num)))
 
-    return joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(keep, "a long, b long").distinct()
+    return joined.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").transform(mapped, keep, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -357,7 +358,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int)
                     yield pa.RecordBatch.from_arrays([pa.array([ids_a[i] for i in keep], pa.int64()), pa.array([ids_b[i] for i in keep], pa.int64())], names=["a", "b"])
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(verify, "a long, b long")
+    return joined.transform(mapped, verify, "a long, b long")
 
 
 def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -449,7 +450,7 @@ def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
             if out.num_rows:
                 yield pa.RecordBatch.from_arrays(out.columns[: len(names)], names=names)
 
-    apart = rows.withColumn("idfilter_place", place("doc_id", made[1])).mapInArrow(outside, rows.schema)
+    apart = rows.withColumn("idfilter_place", place("doc_id", made[1])).transform(mapped, outside, rows.schema)
     return apart.unionByName(keep_listed(rows, "doc_id", others.select("other")).join(others, test, "left_anti"))
 
 
@@ -462,10 +463,11 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     members = sets.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(several, "digest", "left")
     members = materialize(members.withColumn("representative", F.coalesce("representative", "doc_id")), "members")
     others = materialize(members.where("doc_id <> representative").select(F.col("doc_id").alias("other"), F.col("digest").alias("own")).distinct(), "others")
-    indexed = _without(sets.select("doc_id", "n", F.col("n").alias("rare"), "entries", "digest").where("octet_length(entries) > 0"), others).drop("digest")
-    met, frequent, source = [], np.zeros(0, np.uint64), sets
+    # each of these tables is made by one Python function at most, so that a task has one worker
+    indexed = materialize(_without(sets.select("doc_id", "n", F.col("n").alias("rare"), "entries", "digest").where("octet_length(entries) > 0"), others), "indexed")
+    met, frequent = [], np.zeros(0, np.uint64)
     for turn in range(ROUNDS):
-        total = source.agg(F.coalesce(F.sum(F.octet_length("entries")), F.lit(0))).first()[0] // 8
+        total = indexed.agg(F.coalesce(F.sum(F.octet_length("entries")), F.lit(0))).first()[0] // 8
         met.append(materialize(meetings(indexed, total, num, den), "met"))
         large = met[-1].where(f"kind = {LARGE}").select(F.col("x").alias("sig"), F.col("y").alias("doc_id"))
         if turn == ROUNDS - 1:
@@ -475,10 +477,11 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
         if not found.num_rows:
             break
         frequent = np.union1d(frequent, found.column("sig").to_numpy().view(np.uint64))
-        wanted = materialize(large.select(F.col("doc_id").alias("id")).distinct(), "wanted")
-        again = materialize(_without(indexed_again(rows, wanted, frequent, width, num, den), others).drop("digest"), "indexed")
+        members_of = large.select(F.col("doc_id").alias("id")).distinct()
+        wanted = materialize(members_of.join(indexed.select(F.col("doc_id").alias("id"), F.col("digest").alias("own")), "id").distinct(), "wanted")
+        again = materialize(indexed_again(rows, wanted, frequent, width, num, den), "indexed")
         drop(wanted, indexed)
-        indexed = source = again
+        indexed = again
     pairs = met[0].where(f"kind = {PAIRS}").select("x", "y")
     for m in met[1:]:
         pairs = pairs.unionByName(m.where(f"kind = {PAIRS}").select("x", "y"))

@@ -26,7 +26,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     usable = usable.where(remainder(modulus) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
     n = usable.count()
     share = min(1.0, rows / max(n, 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1_000_000)) < round(share * 1_000_000))
+    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 62)) < int(share * (1 << 62)))
     chosen = materialize(chosen, "labels")
     texts = keep_listed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), "doc_id", chosen.select("doc_id"))
     joined = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.encode import encoder, resolve
+from loomgraph.llm.encode import ROOM, encoder, resolve
 from loomgraph.llm.token_store import _schema
+from loomgraph.llm.workers import mapped
 from loomgraph.scratch import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, worker int, number long"
@@ -46,14 +47,14 @@ def cut(total: int, capacity: int, lengths: np.ndarray) -> list[int]:
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text", room: int = ROOM) -> DataFrame:
     vocabulary = resolve(vocabulary)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc_id is not null")
 
     def encode(batches):
         from pyspark import TaskContext
 
-        worker, enc, lengths, end = TaskContext.get().partitionId(), encoder(vocabulary), class_lengths(capacity), struct.pack("<I", end_id)
+        worker, enc, lengths, end = TaskContext.get().partitionId(), encoder(vocabulary, room), class_lengths(capacity), struct.pack("<I", end_id)
         numbers: dict[int, int] = {}
         for b in batches:
             out: list[tuple] = []
@@ -68,7 +69,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, key: st
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), _schema(PIECES))], schema=_schema(PIECES))
 
-    return rows.mapInArrow(encode, PIECES)
+    return rows.transform(mapped, encode, PIECES, keeps="encode")
 
 
 def pack_left(left: list[tuple[int, int]], capacity: int, first: int) -> list[tuple[int, int, int, int]]:
@@ -91,10 +92,10 @@ def pack_left(left: list[tuple[int, int]], capacity: int, first: int) -> list[tu
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 4096, room: int = ROOM) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. room: chunks that a worker remembers."""
     spark = docs.sparkSession
-    made = materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
+    made = materialize(pieces(docs, vocabulary, end_id, capacity, room=room), "pieces")
     counts = made.groupBy("length", "worker").agg(F.count("*").alias("n"))
     base = F.sum("n").over(Window.partitionBy("length").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "worker", F.coalesce(base, F.lit(0)).alias("base"))

@@ -1,7 +1,8 @@
 """Quality classifier: random Fourier features of document statistics, ridge, isotonic calibration.
 
 Each text becomes a fixed vector of statistics. Scaled by the training mean and deviation,
-it is mapped by cosines of random directions, which approximate a Gaussian kernel. Each
+it is mapped by cosines of random directions, which approximate a Gaussian kernel, and the
+scaled statistics themselves are appended (so the kernel is Gaussian plus linear). Each
 partition sums its own normal equations; the sums of sums are solved once for the ridge
 weights. Pool-adjacent-violators over a calibration part (a fifth of the training rows,
 held from the ridge) turns scores into probabilities. Fitted on a bounded sample of
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.llm.labelled import SAMPLE_ROWS, labelled_sample, remainder
+from loomgraph.llm.workers import mapped
 
 DIRECTIONS = 400
 RIDGE = 1.0
@@ -108,7 +110,7 @@ def _summed(rows: DataFrame, part) -> np.ndarray:
         v = np.sum(np.array(table.column("v").to_pylist()), 0)
         return pa.table({"i": table.column("i")[:1], "v": pa.array([v.tolist()], pa.list_(pa.float64()))})
 
-    made = rows.mapInArrow(rows_of, "i long, v array<double>").groupBy("i").applyInArrow(add, "i long, v array<double>").toArrow()
+    made = rows.transform(mapped, rows_of, "i long, v array<double>").groupBy("i").applyInArrow(add, "i long, v array<double>").toArrow()
     if not made.num_rows:
         return np.zeros((0, 0))
     made = made.sort_by("i")
@@ -159,14 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1,
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(sent.value(vectors(b)) @ weights), b.column(1)], names=["score", "y"])
 
-    held = used.where("calibrates").mapInArrow(calibrate, "score double, y int").toPandas()
+    held = used.where("calibrates").transform(mapped, calibrate, "score double, y int").toPandas()
     if not len(held):
-        held = used.mapInArrow(calibrate, "score double, y int").toPandas()
+        held = used.transform(mapped, calibrate, "score double, y int").toPandas()
     return Model(kernel, weights, isotonic(held["score"].to_numpy(), held["y"].to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "quality_score") -> DataFrame:
-    """docs with a score column."""
+    """docs with a score column; a column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(column)
     schema = T.StructType(docs.schema.fields + [T.StructField(column, T.DoubleType())])
@@ -176,7 +178,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "qual
             scores = sent.value.scores([t or "" for t in b.column(text).to_pylist()])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(mapped, run, schema)
 
 
 THRESHOLD = 0.5

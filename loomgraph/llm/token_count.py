@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.encode import resolve
+from loomgraph.llm.workers import mapped, remembers
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -54,31 +55,35 @@ class Counter:
         for piece, score in matched:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max((len(p) for p, _ in matched), default=1)
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.by_chunk = not any(MARK in p.lstrip(MARK) for p, _ in matched) and any(p == MARK for p, _ in matched)
         self.room, self.known = room, {}
 
     def viterbi(self, text: str) -> int:
-        """Pieces on the best path."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, piece in self.automaton.iter(text):
-            ends[end + 1].append(piece)
-        score, count, fused = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for end in range(1, n + 1):
-            best, pieces, open_ = None, 0, False
-            for length, s in ends[end]:  # longest first: a later one must be better to win
-                total = score[end - length] + s
+        """Pieces on the best path; of scores and counts only those of the last ``longest`` places are held."""
+        size = self.longest + 1
+        score, count, fused = [0.0] * size, [0] * size, [False] * size
+        matches = self.automaton.iter(text)
+        at, (length, s) = next(matches, (-1, (0, 0.0)))
+        for place, char in enumerate(text):
+            now = (place + 1) % size
+            best, pieces, open_, single = None, 0, False, False
+            while at == place:  # longest first: a later one must be better to win
+                before = (place + 1 - length) % size
+                total = score[before] + s
                 if best is None or total > best:
-                    best, pieces, open_ = total, count[end - length] + 1, False
-            if not any(length == 1 for length, _ in ends[end]):
-                total = score[end - 1] + self.unknown
+                    best, pieces = total, count[before] + 1
+                single |= length == 1
+                at, (length, s) = next(matches, (-1, (0, 0.0)))
+            if not single:
+                before = place % size
+                total = score[before] + self.unknown
                 if best is None or total > best:
-                    char = text[end - 1]
-                    more = len(char.encode("utf-8", "replace")) if self.byte_pieces else int(not fused[end - 1])
-                    best, pieces, open_ = total, count[end - 1] + more, True
-            score[end], count[end], fused[end] = best, pieces, open_
-        return count[n]
+                    more = len(char.encode("utf-8", "replace")) if self.byte_pieces else int(not fused[before])
+                    best, pieces, open_ = total, count[before] + more, True
+            score[now], count[now], fused[now] = best, pieces, open_
+        return count[len(text) % size]
 
     def count(self, text: str) -> int:
         if not text:
@@ -104,6 +109,9 @@ def counter(path: str) -> Counter:
     return Counter(read_vocabulary(path))
 
 
+remembers("token_count", counter.cache_clear)
+
+
 def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_chars (code points), n_tokens (pieces)."""
     vocabulary = resolve(vocabulary)
@@ -115,7 +123,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
             texts = b.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(c.count, texts), pa.int64())], names=["doc_id", "n_chars", "n_tokens"])
 
-    return rows.mapInArrow(count, "doc_id long, n_chars long, n_tokens long")
+    return rows.transform(mapped, count, "doc_id long, n_chars long, n_tokens long", keeps="token_count")
 
 
 def op10_token_count(spark: SparkSession, sf_dir: str, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.encode import encoder, resolve
 from loomgraph.llm.perfect_hash import PerfectHash, mix
 from loomgraph.llm.shared_files import AtomicFile, open_uri
+from loomgraph.llm.workers import mapped
 from loomgraph.scratch import scratch_path
 
 MAGIC = b"LGTOKEN1"
@@ -103,7 +104,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, key: s
         if made:
             yield pa.RecordBatch.from_pylist([dict(zip([c.split()[0] for c in MANIFEST.split(", ")], made))], schema=_schema(MANIFEST))
 
-    return sorted((tuple(r) for r in rows.mapInArrow(write, MANIFEST).collect()), key=lambda r: r[2])
+    return sorted((tuple(r) for r in rows.transform(mapped, write, MANIFEST, keeps="encode").collect()), key=lambda r: r[2])
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -195,7 +196,7 @@ def read_store(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
                     ], schema=_schema(READ))
                 shard.close()
 
-    return listed.mapInArrow(read, READ)
+    return listed.transform(mapped, read, READ)
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:

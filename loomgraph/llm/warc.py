@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.shared_files import AtomicFile, open_uri
 from loomgraph.llm.token_store import _schema
+from loomgraph.llm.workers import mapped
 from loomgraph.scratch import materialize, scratch_path
 
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -39,8 +40,6 @@ ID = "urn:x-page:"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 20
-#: A member that inflates beyond this is damaged, not large.
-MOST_RECORD = 1 << 30
 
 
 def sha1_32(data: bytes) -> str:
@@ -60,8 +59,6 @@ def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to
     if refers_to is not None:
         head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{ID}{refers_to}>"]
     data = "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
-    if len(data) >= MOST_RECORD:
-        raise ValueError(f"page {page_id}: a record of {len(data)} bytes, which readers take for a damaged one")
     return data
 
 
@@ -100,7 +97,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, key: str =
             out.__exit__(None)
             yield pa.RecordBatch.from_arrays([pa.array([target])], names=["path"])
 
-    return sorted(r.path for r in ordered.mapInArrow(write, "path string").collect())
+    return sorted(r.path for r in ordered.transform(mapped, write, "path string").collect())
 
 
 @dataclass
@@ -119,9 +116,9 @@ class Damaged(Exception):
     pass
 
 
-def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, bytes used) of a record at the start of data; raises Damaged, or EOFError if data end too soon."""
-    m = VERSION.match(data)
+def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
+    """(headers, block, bytes used) of a record at a place of data; raises Damaged, or EOFError if data end too soon."""
+    m = VERSION.match(data, at)
     if not m:
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n", m.end() - 2)
@@ -134,7 +131,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
             raise Damaged("header line without a colon")
         headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
-    if not length.isdigit() or int(length) > MOST_RECORD:
+    if not length.isdigit():
         raise Damaged("no usable length")
     begin = end + 4
     stop = begin + int(length)
@@ -142,7 +139,7 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes, int]:
         raise EOFError
     if data[stop : stop + 4] != b"\r\n\r\n":
         raise Damaged("no end of record after its length")
-    return headers, data[begin:stop], stop + 4
+    return headers, data[begin:stop], stop + 4 - at
 
 
 def check(headers: dict[str, str], block: bytes, offset: int) -> Record:
@@ -172,12 +169,15 @@ class Salvage:
         self.buffer, self.base = b"", 0  # bytes of the file from base on
 
     def _more(self) -> bool:
-        data = self.file.read(READ_BYTES)
+        """Reads on, as much again as the buffer holds, so that a long record is not copied for every block."""
+        data = self.file.read(max(READ_BYTES, len(self.buffer)))
         self.buffer += data
         return bool(data)
 
     def _drop(self, at: int) -> None:
-        self.buffer, self.base = self.buffer[at - self.base :], at
+        """Bytes before a place are not needed any more; they go a block at a time."""
+        if at - self.base >= min(READ_BYTES, len(self.buffer)):
+            self.buffer, self.base = self.buffer[at - self.base :], at
 
     def _member(self, at: int) -> tuple[bytes, int]:
         """Content of the gzip member at a place, and its end."""
@@ -189,7 +189,7 @@ class Salvage:
                     raise Damaged("the file ends within a member")
                 continue
             try:
-                parts.append(z.decompress(chunk, MOST_RECORD))
+                parts.append(z.decompress(chunk))
             except zlib.error as e:
                 raise Damaged(f"gzip: {e}") from None
             total += len(parts[-1])
@@ -198,13 +198,11 @@ class Salvage:
                 raise Damaged("no version line in the member")
             if z.eof:
                 return b"".join(parts), self.base + i
-            if total >= MOST_RECORD:
-                raise Damaged("longer than any record")
 
     def _plain(self, at: int) -> tuple[dict[str, str], bytes, int]:
         while True:
             try:
-                headers, block, used = parse_record(self.buffer[at - self.base :])
+                headers, block, used = parse_record(self.buffer, at - self.base)
                 return headers, block, at + used
             except EOFError:
                 if not self._more():
@@ -231,11 +229,11 @@ class Salvage:
     def _next_place(self, at: int) -> int:
         """The next byte that may begin a member or a record; the file's end if none."""
         while True:
-            view = self.buffer[at - self.base :]
-            places = [i for i in (view.find(GZIP), view.find(b"WARC/1.")) if i >= 0]
+            places = [i for i in (self.buffer.find(x, at - self.base) for x in (GZIP, b"WARC/1.")) if i >= 0]
             if places:
-                return at + min(places)
+                return self.base + min(places)
             at = max(at, self.base + len(self.buffer) - 8)
+            self._drop(at)
             if not self._more():
                 return self.base + len(self.buffer)
 
@@ -247,8 +245,8 @@ class Salvage:
             except Damaged as e:
                 if bad is None:
                     bad, reason = at, str(e)
-                    self._drop(at)
                 at = self._next_place(at + 1)
+                self._drop(at)
                 continue
             if bad is not None:
                 self.gaps.append((bad, at, reason))
@@ -293,7 +291,7 @@ def read_archives(spark: SparkSession, paths: list[str], payloads: bool = True)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), _schema(READ))], schema=_schema(READ))
                         rows, size = [], 0
 
-    return _files(spark, paths).mapInArrow(read, READ)
+    return _files(spark, paths).transform(mapped, read, READ)
 
 
 def quarantined(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -308,7 +306,7 @@ def quarantined(spark: SparkSession, paths: list[str]) -> DataFrame:
                 if gaps:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*((path, *g) for g in gaps)), _schema(GAPS))], schema=_schema(GAPS))
 
-    return _files(spark, paths).mapInArrow(read, GAPS)
+    return _files(spark, paths).transform(mapped, read, GAPS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
