@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm import decontaminate, jaccard_join, packing, quality, toxicity
 from loomgraph.scratch import materialize
 
+#: Chunks that a worker of the last stage remembers; fewer than by default, as the stages before have grown the executor.
+PACKING_ROOM = 100_000
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -49,14 +51,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def cut_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_leaks(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    cut = decontaminate.remove_leaks(found)
+    cut = decontaminate.find_leaks(_columns(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove=True)
     changed = F.when(F.size("leak_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return _columns(cut.withColumn("n_chars", changed))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, "word_bpe_49k.json", end_id=2)
+    return packing.pack(docs, "word_bpe_49k.json", end_id=2, room=PACKING_ROOM)
 
 
 STAGES = [
