@@ -22,7 +22,8 @@ Without gathering any group on a driver, or a hot one in a task:
    others are verified on the whole texts, with two independent hashes of every word.
 5. Large groups that the links so far leave in several components are dealt out in blocks
    of members outside the star's component against all members, with the same bounds as
-   arrays, and verified likewise.
+   arrays: first a spanning forest of each pair of blocks is verified, then, of what it
+   leaves apart, every pair that the bounds allow.
 6. Links give components; copies follow their representative.
 
 Defined results: null text has no shingles, and an empty set links with nothing; a text of
@@ -369,8 +370,29 @@ def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def block_candidates(table: pa.Table, num: int, den: int) -> pa.Table:
-    """Pairs of a block pair, outside members (side 0) with all (side 1), of different components that sizes and parity maps allow."""
+def spanning(x: np.ndarray, y: np.ndarray, score: np.ndarray) -> list[int]:
+    """Of edges between components x and y a spanning forest, those of least score first."""
+    parent: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while parent.get(k, k) != k:
+            parent[k] = parent.get(parent[k], parent[k])
+            k = parent[k]
+        return k
+
+    kept = []
+    x, y = x.tolist(), y.tolist()
+    for e in np.argsort(score, kind="stable").tolist():
+        a, b = root(x[e]), root(y[e])
+        if a != b:
+            parent[a] = b
+            kept.append(e)
+    return kept
+
+
+def block_candidates(table: pa.Table, num: int, den: int, forest: bool) -> pa.Table:
+    """Pairs of a block pair, outside members (side 0) with all (side 1), of different components that
+    sizes and parity maps allow; with forest only a spanning forest of the components, nearest pairs first."""
     side, doc, comp, n, rare = (table.column(c).to_numpy() for c in ("side", "doc_id", "comp", "n", "rare"))
     maps = table.column("parity").to_pylist()
     held = np.array([len(m) for m in maps])
@@ -392,11 +414,14 @@ def block_candidates(table: pa.Table, num: int, den: int) -> pa.Table:
     ok &= np.minimum(n[out][:, None], n[rest][None, :]) * den >= np.maximum(n[out][:, None], n[rest][None, :]) * num
     ok &= ~paired[out][:, None] | (common * (num + den) >= both * num)
     i, j = np.nonzero(ok)
+    if forest and len(i):
+        kept = spanning(comp[out[i]], comp[rest[j]], differ[i, j] / both[i, j])
+        i, j = i[kept], j[kept]
     x, y = doc[out[i]], doc[rest[j]]
     return pa.table({"a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y))})
 
 
-def _across_blocks(groups: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame | None:
+def _across_blocks(groups: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int, forest: bool) -> DataFrame | None:
     """Further candidates in large groups whose members are in several components so far.
 
     A pair of blocks is one call of at most 2 * BLOCK members; small groups share calls.
@@ -429,7 +454,7 @@ def _across_blocks(groups: DataFrame, comps: DataFrame, sets: DataFrame, num: in
         table = table.sort_by([("sig", "ascending"), ("i", "ascending"), ("j", "ascending")])
         key = np.stack([table.column(c).to_numpy() for c in ("sig", "i", "j")])
         cuts = (np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist()
-        parts = [block_candidates(table.slice(x, y - x), num, den) for x, y in zip([0, *cuts], [*cuts, table.num_rows])]
+        parts = [block_candidates(table.slice(x, y - x), num, den, forest) for x, y in zip([0, *cuts], [*cuts, table.num_rows])]
         return pa.concat_tables(parts)
 
     return rows.groupBy("call").applyInArrow(run, "a long, b long").distinct()
@@ -497,14 +522,18 @@ def similarity_classes(docs: DataFrame, width: int = 5, num: int = 80, den: int
     links = materialize(verified(candidates, texts, width, num, den), "links")
     drop(candidates, texts)
     comps = materialize(connected_components(links), "components")
-    more = _across_blocks(large, comps, maps, num, den)
-    if more is not None:
-        candidates = materialize(more, "candidates")
+    for forest in (True, False):  # what the forests join needs no pairs; the rest gets all that the bounds allow
+        more = _across_blocks(large, comps, maps, num, den, forest)
+        candidates = materialize(more, "candidates") if more is not None else None
+        if candidates is None or candidates.isEmpty():
+            break
         texts = _texts(rows, candidates)
         further = materialize(verified(candidates, texts, width, num, den), "links")
         drop(candidates, texts)
-        comps = materialize(connected_components(links.unionByName(further)), "components")
-        drop(further)
+        joined = materialize(links.unionByName(further), "links")
+        drop(links, further)
+        links = joined
+        comps = materialize(connected_components(links), "components")
     drop(large, sets, links)
     out = members.join(comps, members.representative == comps.id, "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
