@@ -52,7 +52,7 @@ from loomgraph.scratch import drop, materialize
 
 SMALL = 8
 ROUNDS = 3
-BLOCK = 256
+BLOCK = 1024
 VERIFY_BYTES = 4 << 20
 SHARED_CALL = 2_000
 #: Entries that a task deals out at a time, and that a task of the other side takes.
