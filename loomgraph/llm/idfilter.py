@@ -7,6 +7,8 @@ more ids than it could tell apart there is no bitmap and the join alone decides.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,8 +23,8 @@ def place(column: str, bits: int) -> F.Column:
     return F.xxhash64(column).bitwiseAND((1 << bits) - 1)
 
 
-def bitmap(ids: DataFrame) -> tuple[np.ndarray, int] | None:
-    """(64-bit words, bits) for the one column of ids; None for too many."""
+def bitmap(ids: DataFrame, place: Callable[[str, int], F.Column] = place) -> tuple[np.ndarray, int] | None:
+    """(64-bit words, bits) for the one column of ids; None for too many. place: which bit is whose."""
     n = ids.count()
     bits = max(LEAST_BITS, (8 * n).bit_length())
     if bits > MOST_BITS:

@@ -1,4 +1,4 @@
-"""Labelled rows for fitting, from a fold of the documents and of a bounded number."""
+"""Labelled rows for fitting, from a fold of the documents: all, or a bounded number."""
 
 from __future__ import annotations
 
@@ -16,18 +16,18 @@ def remainder(modulus: int, key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % modulus
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, text, y): about ``rows`` labelled documents outside the held-out fold, by hash order of their ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, y): about ``rows`` labelled documents outside the held-out fold, by hash order of their ids; all for None.
 
     Null labels, ids and texts are left out; of repeated labels the largest counts; of a
     repeated document the least text.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(f"doc_id is not null and {label} is not null")
     usable = usable.where(remainder(modulus) != held_out).groupBy("doc_id").agg(F.max("y").alias("y"))
-    n = usable.count()
-    share = min(1.0, rows / max(n, 1))
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 62)) < int(share * (1 << 62)))
-    chosen = materialize(chosen, "labels")
+    if rows is not None:
+        share = min(1.0, rows / max(usable.count(), 1))
+        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 62)) < int(share * (1 << 62)))
+    chosen = materialize(usable, "labels")
     texts = keep_listed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), "doc_id", chosen.select("doc_id"))
     joined = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     return materialize(joined, "labelled")

@@ -3,13 +3,14 @@
 A character language model (trigrams over folded bytes, summed over all documents) and a
 channel of look-alike symbols, dropped separators and repeated letters span a lattice for
 each suspicious word; Viterbi picks the best clean word. Letters spaced apart are joined
-first, and a second lattice, of the sample's words and of unknown words by trigrams,
+first, and a second lattice, of the words of all texts and of unknown words by trigrams,
 chooses where words end in them. A word of letters only without a run of three has one path and restores to itself.
 
 The restored words are scored by words and word beginnings that separate toxic from other
 labelled texts (log-likelihood ratio), summed into a few numbers for a logistic model.
-Fitted on a bounded sample of labelled rows outside the held-out fold; the language model
-covers all texts.
+Fitted on every labelled row outside the held-out fold; the language model and the counts
+of words cover all texts. Of the counted words only those that lie in spaced letters of the
+texts at hand are sent to workers, as no others are asked for.
 
 Defined results: null text counts as empty, empty texts get the score of a text without
 findings; null keys are kept; repeated rows each give a row; without usable labels, or
@@ -18,9 +19,12 @@ with one class only, all score the share of label 1 (0 without labels).
 
 from __future__ import annotations
 
+import copy
 import math
 import re
+import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import slabs, string_buffers
-from loomgraph.llm.labelled import SAMPLE_ROWS, labelled_sample, remainder
+from loomgraph.llm.idfilter import bitmap
+from loomgraph.llm.labelled import labelled_sample, remainder
 from loomgraph.llm.texthash import FOLD
 from loomgraph.llm.workers import mapped
 from loomgraph.scratch import materialize
@@ -44,12 +49,65 @@ EDGE = ".,;:!?\"'()[]{}<>*-_~#%&/\\|+=`^·…“”‘’«»"
 SUBSTITUTE, DROP, SHORTEN, SAME = -1.5, -1.0, -0.5, 0.0
 SUSPICIOUS = re.compile(r"(.)\1\1|[^\W\d_](?:[^\w\s]|_)+[^\W\d_]|[\d@$!|+(<€£¥]")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_] +){2,}[^\W_](?=[.,;:!?]*(?!\S))")
-UNKNOWN = -8.0  # natural logarithm of the share of words that the sample does not know
+UNKNOWN = -8.0  # natural logarithm of the share of words that are not known
 SYMBOLS = 156  # 0: the edge of a word, 1-26: a-z, 27-155: bytes of other letters
 BYTE_SYMBOL = np.array([b - 96 if 97 <= b <= 122 else 27 + b - 128 if b >= 128 else 0 for b in range(256)], np.int64)[FOLD]
 BEGINNINGS = (4, 5, 6, 7, 8)
 LEAST_G2, MOST_G2 = 12.0, 27.0  # the threshold grows with the number of tested features between these
 ROOM = 150_000
+FULL = 300_000  # counted items after which a task passes its counts on
+
+
+class Memory(dict):
+    """Results of a function of words; all are forgotten when there are many."""
+
+    def __init__(self, of: Callable):
+        self.of = of
+
+    def __missing__(self, word: str):
+        if len(self) >= ROOM:
+            self.clear()
+        self[word] = out = self.of(word)
+        return out
+
+
+def tally(batches: Iterable[pa.RecordBatch], items: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
+    """(item, n): the number of texts with each item; an item may come more than once, to be summed."""
+    total: Counter = Counter()
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["item", "n"])
+
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            total.update(items(text or ""))
+            if len(total) >= FULL:
+                yield made()
+                total.clear()
+    if total:
+        yield made()
+
+
+def distinct(items: Iterable[str], name: str) -> Iterator[pa.RecordBatch]:
+    """Batches of the items, without some of the repetitions."""
+    seen: set[str] = set()
+    for item in items:
+        seen.add(item)
+        if len(seen) >= FULL:
+            yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=[name])
+            seen.clear()
+    if seen:
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=[name])
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(item, n): the words in three texts or more, spaced letters left out."""
+
+    def count(batches):
+        bare = Memory(lambda word: w if (w := word.strip(EDGE)).isalpha() else "")
+        yield from tally(batches, lambda text: set(map(bare.__getitem__, SPACED.sub(" ", text.lower()).split())) - {""})
+
+    return materialize(texts.transform(mapped, count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n >= 3"), "words")
 
 
 class LanguageModel:
@@ -87,22 +145,33 @@ class LanguageModel:
         rows = docs.select(text).transform(mapped, count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         return cls(rows.column("place").to_numpy(), rows.column("n").to_numpy())
 
+    def know(self, counts: DataFrame, total: int | None) -> None:
+        found = counts.toArrow()
+        self.words = dict(zip(found.column("item").to_pylist(), np.log(found.column("n").to_numpy().astype(float) / max(total or 0, 1)).tolist()))
+        self.longest = max(map(len, self.words), default=0)
 
     def learn(self, texts: DataFrame) -> None:
-        """Log frequencies of the words in three texts or more, spaced letters left out; texts is a bounded sample."""
+        """Log frequencies of all words in three texts or more, which have to fit in memory."""
+        counts = word_counts(texts)
+        self.know(counts, counts.agg(F.sum("n")).first()[0])
 
-        def count(batches):
-            total: Counter = Counter()
-            for b in batches:
-                for text in b.column(0).to_pylist():
-                    total.update({w for w in (w.strip(EDGE) for w in SPACED.sub(" ", (text or "").lower()).split()) if w.isalpha()})
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys()), pa.array(total.values(), pa.int64())], names=["w", "n"])
-
-        found = texts.transform(mapped, count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where("n >= 3").toArrow()
-        n = found.column("n").to_numpy().astype(float)
-        self.words = dict(zip(found.column("w").to_pylist(), np.log(n / max(n.sum(), 1)).tolist()))
-        self.longest = max(map(len, self.words), default=0)
+    def within(self, counts: DataFrame, texts: DataFrame) -> "LanguageModel":
+        """This model with those of the word_counts() that lie in spaced letters of the texts: segment() asks for no others."""
+        total, lengths = counts.agg(F.sum("n"), F.sort_array(F.collect_set(F.length("item")))).first()
+        made = copy.copy(self)
+        made.words, made.longest = {}, 0
+        sent = texts.sparkSession.sparkContext.broadcast(made)
+
+        def joined(batches):
+            word = Restorer(sent.value).word
+            yield from distinct((word(run.replace(" ", "")) for b in batches for t in b.column(0).to_pylist() for run in SPACED.findall((t or "").lower())), "run")
+
+        def cut(batches):
+            yield from distinct((run[i : i + n] for b in batches for run in b.column(0).to_pylist() for n in lengths for i in range(len(run) - n + 1)), "item")
+
+        runs = materialize(texts.transform(mapped, joined, "run string").distinct(), "runs")
+        made.know(runs.transform(mapped, cut, "item string").distinct().join(counts, "item"), total)
+        return made
 
 
 def restore(word: str, model: LanguageModel) -> str:
@@ -207,23 +276,18 @@ def features(word: str) -> list[str]:
 
 
 class Score:
-    """Findings of a text from the chosen features, and its probability."""
+    """Findings of a text from the chosen features, and its probability. counts: word_counts() of the texts fitted on."""
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float], coefficients: list[float]):
-        self.restorer, self.weights, self.coefficients, self.known = restorer, weights, np.array(coefficients), {}
+    def __init__(self, restorer: Restorer, weights: dict[str, float], coefficients: list[float], counts: DataFrame | None = None):
+        self.restorer, self.weights, self.coefficients, self.counts = restorer, weights, np.array(coefficients), counts
+        self.known = Memory(self.weight)
 
     def weight(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            if len(self.known) >= ROOM:
-                self.known.clear()
-            w = max((self.weights.get(f, 0.0) for f in features(self.restorer.word(word))), default=0.0)
-            self.known[word] = w
-        return w
+        return max((self.weights.get(f, 0.0) for f in features(self.restorer.word(word))), default=0.0)
 
     def numbers(self, text: str) -> list[float]:
         words = self.restorer.words(text)
-        found = [w for w in map(self.weight, words) if w]
+        found = [w for w in map(self.known.__getitem__, words) if w]
         n = len(found)
         return [1.0, math.log1p(sum(found)), math.log1p(n), float(n > 1), min(1.0, 20 * n / max(len(words), 20)), max(found, default=0.0)]
 
@@ -231,22 +295,32 @@ class Score:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.coefficients, self.numbers(text)), -35, 35))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
-    w = np.zeros(x.shape[1])
-    w[0] = math.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient (first row) and curvature of the logistic loss of these rows."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
+    return np.vstack([x.T @ (p - y), (x * (p * (1 - p))[:, None]).T @ x])
+
+
+def logistic(total: Callable[[np.ndarray], np.ndarray], mean: float, width: int, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
+    """Newton's method; total(w): slopes() of all rows."""
+    w = np.zeros(width)
+    w[0] = math.log((mean + 1e-6) / (1 - mean + 1e-6))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        found = total(w)
+        step = np.linalg.solve(found[1:] + ridge * np.eye(width), found[0] + ridge * w)
         w -= np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
+def least_g2(tested: int) -> float:
+    return min(MOST_G2, max(LEAST_G2, 2 * math.log(max(tested, 2)) - 2))
+
+
 def choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int, tested: int | None = None) -> dict[str, float]:
     """Features that are significantly more common in toxic texts, with their log odds; tested: how many were looked at."""
-    least = min(MOST_G2, max(LEAST_G2, 2 * math.log(max(len(counts) if tested is None else tested, 2)) - 2))
+    least = least_g2(len(counts) if tested is None else tested)
     chosen = {}
     for f, (a, b) in counts.items():
         if a < 3 or a / n_pos <= 3 * (b + 0.5) / n_neg:
@@ -258,40 +332,61 @@ def choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int, tested: i
     return chosen
 
 
-def significant(counts: DataFrame, n_pos: int, n_neg: int) -> dict[str, float]:
-    """choose() for (f, a, b) rows, of which only those that may pass come to the driver."""
+def significant(counts: DataFrame, n_pos: int, n_neg: int, tested: int | None = None) -> dict[str, float]:
+    """choose() for (f, a, b) rows, of which only those that may pass come to the driver. tested: all with a >= 3, if more than these."""
     counts = materialize(counts.where("a >= 3"), "features")
     g2 = f"2 * (a * ln(a * {n_pos + n_neg}D / ((a + b) * {n_pos}D)) + if(b > 0, b * ln(b * {n_pos + n_neg}D / ((a + b) * {n_neg}D)), 0))"
     near = counts.where(f"a / {n_pos}D > 2.99 * (b + 0.5D) / {n_neg} and {g2} >= {LEAST_G2} - 0.01")
-    return choose({r.f: (r.a, r.b) for r in near.collect()}, n_pos, n_neg, counts.count())
+    return choose({r.f: (r.a, r.b) for r in near.collect()}, n_pos, n_neg, counts.count() if tested is None else tested)
+
+
+def _place(column: str, bits: int) -> F.Column:
+    return F.crc32(F.col(column).cast("binary")).bitwiseAND((1 << bits) - 1)
+
+
+def count_features(rows: DataFrame, model, n_pos: int, n_neg: int) -> tuple[DataFrame, int]:
+    """((f, a, b): toxic and other rows with each feature, how many have a >= 3); model: broadcast.
+
+    The test grows as b falls, so features that b = 0 would not let pass are left out; the
+    other rows are counted for the rest, and for some more that a bitmap of them lets by.
+    """
+
+    def counts(y: int, name: str, kept: tuple | None = None) -> DataFrame:
+        table, bits = kept or (None, 0)
+
+        def may_pass(f: str) -> bool:
+            at = zlib.crc32(f.encode()) & ((1 << bits) - 1)
+            return bool(int(table.value[at >> 6]) >> (at & 63) & 1)
+
+        def count(batches):
+            r = Restorer(model.value)
+            of = Memory(lambda word: [f for f in features(r.word(word)) if table is None or may_pass(f)])
+            yield from tally(batches, lambda text: set().union(*map(of.__getitem__, set(r.words(text)))))
+
+        return rows.where(f"y = {y}").select("text").transform(mapped, count, "f string, n long").groupBy("f").agg(F.sum("n").alias(name))
+
+    toxic = materialize(counts(1, "a").where("a >= 3"), "toxic-features")
+    tested = toxic.count()
+    able = toxic.where(f"2 * a * ln({n_pos + n_neg}D / {n_pos}D) >= {least_g2(tested)} - 0.01")
+    made = bitmap(able.select("f"), _place)
+    kept = made and (rows.sparkSession.sparkContext.broadcast(made[0]), made[1])
+    other = counts(0, "b", kept)
+    return able.join(other, "f", "left").select("f", "a", F.coalesce("b", F.lit(0)).alias("b")), tested
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> Score:
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2) -> Score:
     model = LanguageModel.fit(docs)
-    restorer = Restorer(model)
-    sample = labelled_sample(docs, labels, "toxic", modulus, held_out, rows)
-    n = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    rows = labelled_sample(docs, labels, "toxic", modulus, held_out, rows=None).where("y in (0, 1)").select("text", "y")
+    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     if not n_pos or not n_neg:
         share = n_pos / max(n_pos + n_neg, 1)
-        return Score(restorer, {}, [math.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0, 0, 0])
-    model.learn(sample.select("text"))
+        return Score(Restorer(model), {}, [math.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0, 0, 0])
+    words = word_counts(docs.select("text"))
+    model = model.within(words, rows.select("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def count(batches):
-        r = Restorer(sent.value)
-        total: tuple[Counter, Counter] = Counter(), Counter()
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if y in (0, 1):
-                    total[1 - y].update({f for w in {r.word(w) for w in r.words(text)} for f in features(w)})
-        for t, zero in zip(total, (False, True)):
-            if t:
-                n, none = pa.array(t.values(), pa.int64()), pa.array(np.zeros(len(t), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(t.keys()), none if zero else n, n if zero else none], names=["f", "a", "b"])
-
-    counts = sample.select("text", "y").transform(mapped, count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    weights = significant(counts, n_pos, n_neg)
+    counts, tested = count_features(rows, sent, n_pos, n_neg)
+    weights = significant(counts, n_pos, n_neg, tested)
 
     def numbers(batches):
         s = Score(Restorer(sent.value), weights, [0] * 6)
@@ -299,16 +394,28 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2,
             rows_ = [s.numbers(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    table = sample.select("text", "y").transform(mapped, numbers, "x array<double>, y int").toPandas()
-    x = np.array(table["x"].tolist())
-    return Score(restorer, weights, logistic(x, table["y"].to_numpy(float)).tolist())
+    table = materialize(rows.transform(mapped, numbers, "x array<double>, y int"), "numbers")
+
+    def total(w: np.ndarray) -> np.ndarray:
+        def add(batches):
+            made = np.zeros((7, 6))
+            for b in batches:
+                made += slopes(b.column(0).flatten().to_numpy().reshape(-1, 6), b.column(1).to_numpy().astype(float), w)
+            yield pa.RecordBatch.from_arrays([pa.array([made.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+        return np.sum(table.transform(mapped, add, "s array<double>").toArrow().column("s").to_pylist(), axis=0).reshape(7, 6)
+
+    return Score(Restorer(model), weights, logistic(total, n_pos / (n_pos + n_neg), 6).tolist(), words)
 
 
 def score(docs: DataFrame, fitted: Score, text: str = "text", column: str = "toxicity") -> DataFrame:
     """docs with a score column; a column of that name is replaced."""
     from pyspark.sql import types as T
 
-    parts = docs.sparkSession.sparkContext.broadcast((fitted.restorer.model, fitted.weights, fitted.coefficients.tolist()))
+    model = fitted.restorer.model
+    if fitted.counts is not None and fitted.weights:
+        model = model.within(fitted.counts, docs.select(text))
+    parts = docs.sparkSession.sparkContext.broadcast((model, fitted.weights, fitted.coefficients.tolist()))
     docs = docs.drop(column)
     schema = T.StructType(docs.schema.fields + [T.StructField(column, T.DoubleType())])
 
