@@ -100,14 +100,49 @@ def distinct(items: Iterable[str], name: str) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=[name])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(item, n): the words in three texts or more, spaced letters left out."""
+GRAM = 4
+
+
+def grams(word: str) -> set[str]:
+    """All pieces of GRAM letters, or the word, if it is shorter."""
+    return {word[i : i + GRAM] for i in range(max(1, len(word) - GRAM + 1))}
+
+
+def word_counts(texts: DataFrame, inside: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """((item, n), total): the words in three texts or more, spaced letters left out, and the sum of n over all words.
+
+    inside: rows of runs; words with letters side by side that no run has are only summed up.
+    """
+    kept = None
+    if inside is not None:
+
+        def cut(batches):
+            pieces = (run[i : i + n] for b in batches for run in b.column(0).to_pylist() for n in range(1, GRAM + 1) for i in range(len(run) - n + 1))
+            yield from distinct(pieces, "gram")
+
+        found = inside.transform(mapped, cut, "gram string").distinct().toArrow().column("gram").to_pylist()
+        kept = texts.sparkSession.sparkContext.broadcast(frozenset(found))
 
     def count(batches):
         bare = Memory(lambda word: w if (w := word.strip(EDGE)).isalpha() else "")
-        yield from tally(batches, lambda text: set(map(bare.__getitem__, SPACED.sub(" ", text.lower()).split())) - {""})
+        asked = Memory(lambda word: word if kept is None or grams(word) <= kept.value else "")
+        total = 0
+
+        def words(text: str) -> set[str]:
+            nonlocal total
+            found = set(map(bare.__getitem__, SPACED.sub(" ", text.lower()).split()))
+            found.discard("")
+            total += len(found)
+            if kept is not None:
+                found = set(map(asked.__getitem__, found))
+                found.discard("")
+            return found
 
-    return materialize(texts.transform(mapped, count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n >= 3"), "words")
+        yield from tally(batches, words)
+        yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([total], pa.int64())], names=["item", "n"])
+
+    counts = materialize(texts.transform(mapped, count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n >= 3 or item = ''"), "words")
+    return counts.where("item <> ''"), counts.where("item = ''").agg(F.sum("n")).first()[0] or 0
 
 
 class LanguageModel:
@@ -145,31 +180,32 @@ class LanguageModel:
         rows = docs.select(text).transform(mapped, count, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
         return cls(rows.column("place").to_numpy(), rows.column("n").to_numpy())
 
-    def know(self, counts: DataFrame, total: int | None) -> None:
+    def know(self, counts: DataFrame, total: int) -> None:
         found = counts.toArrow()
-        self.words = dict(zip(found.column("item").to_pylist(), np.log(found.column("n").to_numpy().astype(float) / max(total or 0, 1)).tolist()))
+        self.words = dict(zip(found.column("item").to_pylist(), np.log(found.column("n").to_numpy().astype(float) / max(total, 1)).tolist()))
         self.longest = max(map(len, self.words), default=0)
 
     def learn(self, texts: DataFrame) -> None:
         """Log frequencies of all words in three texts or more, which have to fit in memory."""
-        counts = word_counts(texts)
-        self.know(counts, counts.agg(F.sum("n")).first()[0])
+        self.know(*word_counts(texts))
 
-    def within(self, counts: DataFrame, texts: DataFrame) -> "LanguageModel":
-        """This model with those of the word_counts() that lie in spaced letters of the texts: segment() asks for no others."""
-        total, lengths = counts.agg(F.sum("n"), F.sort_array(F.collect_set(F.length("item")))).first()
+    def within(self, texts: DataFrame, asked: DataFrame) -> "LanguageModel":
+        """This model with those words of the texts that lie in spaced letters of the asked ones: segment() needs no others."""
         made = copy.copy(self)
         made.words, made.longest = {}, 0
-        sent = texts.sparkSession.sparkContext.broadcast(made)
+        sent = asked.sparkSession.sparkContext.broadcast(made)
 
         def joined(batches):
             word = Restorer(sent.value).word
             yield from distinct((word(run.replace(" ", "")) for b in batches for t in b.column(0).to_pylist() for run in SPACED.findall((t or "").lower())), "run")
 
+        runs = materialize(asked.transform(mapped, joined, "run string").distinct(), "runs")
+        counts, total = word_counts(texts, runs)
+        lengths = counts.agg(F.sort_array(F.collect_set(F.length("item")))).first()[0]
+
         def cut(batches):
             yield from distinct((run[i : i + n] for b in batches for run in b.column(0).to_pylist() for n in lengths for i in range(len(run) - n + 1)), "item")
 
-        runs = materialize(texts.transform(mapped, joined, "run string").distinct(), "runs")
         made.know(runs.transform(mapped, cut, "item string").distinct().join(counts, "item"), total)
         return made
 
@@ -276,14 +312,18 @@ def features(word: str) -> list[str]:
 
 
 class Score:
-    """Findings of a text from the chosen features, and its probability. counts: word_counts() of the texts fitted on."""
+    """Findings of a text from the chosen features, and its probability. texts: those fitted on."""
 
-    def __init__(self, restorer: Restorer, weights: dict[str, float], coefficients: list[float], counts: DataFrame | None = None):
-        self.restorer, self.weights, self.coefficients, self.counts = restorer, weights, np.array(coefficients), counts
+    def __init__(self, restorer: Restorer, weights: dict[str, float], coefficients: list[float], texts: DataFrame | None = None):
+        self.restorer, self.weights, self.coefficients, self.texts = restorer, weights, np.array(coefficients), texts
         self.known = Memory(self.weight)
 
     def weight(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(self.restorer.word(word))), default=0.0)
+        most, weights = 0.0, self.weights
+        for f in features(self.restorer.word(word)):
+            if f in weights and weights[f] > most:
+                most = weights[f]
+        return most
 
     def numbers(self, text: str) -> list[float]:
         words = self.restorer.words(text)
@@ -354,13 +394,15 @@ def count_features(rows: DataFrame, model, n_pos: int, n_neg: int) -> tuple[Data
     def counts(y: int, name: str, kept: tuple | None = None) -> DataFrame:
         table, bits = kept or (None, 0)
 
-        def may_pass(f: str) -> bool:
-            at = zlib.crc32(f.encode()) & ((1 << bits) - 1)
-            return bool(int(table.value[at >> 6]) >> (at & 63) & 1)
-
         def count(batches):
-            r = Restorer(model.value)
-            of = Memory(lambda word: [f for f in features(r.word(word)) if table is None or may_pass(f)])
+            r, mask, crc32 = Restorer(model.value), (1 << bits) - 1, zlib.crc32
+            marks = table and memoryview(table.value).cast("B")  # bytes of little-endian words
+
+            def chosen(word: str) -> list[str]:
+                made = features(r.word(word))
+                return made if marks is None else [f for f in made if marks[(at := crc32(f.encode()) & mask) >> 3] >> (at & 7) & 1]
+
+            of = Memory(chosen)
             yield from tally(batches, lambda text: set().union(*map(of.__getitem__, set(r.words(text)))))
 
         return rows.where(f"y = {y}").select("text").transform(mapped, count, "f string, n long").groupBy("f").agg(F.sum("n").alias(name))
@@ -382,8 +424,8 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
     if not n_pos or not n_neg:
         share = n_pos / max(n_pos + n_neg, 1)
         return Score(Restorer(model), {}, [math.log((share + 1e-6) / (1 - share + 1e-6)), 0, 0, 0, 0, 0])
-    words = word_counts(docs.select("text"))
-    model = model.within(words, rows.select("text"))
+    texts = docs.select("text")
+    model = model.within(texts, texts)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     counts, tested = count_features(rows, sent, n_pos, n_neg)
     weights = significant(counts, n_pos, n_neg, tested)
@@ -405,7 +447,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
 
         return np.sum(table.transform(mapped, add, "s array<double>").toArrow().column("s").to_pylist(), axis=0).reshape(7, 6)
 
-    return Score(Restorer(model), weights, logistic(total, n_pos / (n_pos + n_neg), 6).tolist(), words)
+    return Score(Restorer(model), weights, logistic(total, n_pos / (n_pos + n_neg), 6).tolist(), texts)
 
 
 def score(docs: DataFrame, fitted: Score, text: str = "text", column: str = "toxicity") -> DataFrame:
@@ -413,8 +455,8 @@ def score(docs: DataFrame, fitted: Score, text: str = "text", column: str = "tox
     from pyspark.sql import types as T
 
     model = fitted.restorer.model
-    if fitted.counts is not None and fitted.weights:
-        model = model.within(fitted.counts, docs.select(text))
+    if fitted.weights and not fitted.texts.sameSemantics(docs.select(text)):
+        model = model.within(fitted.texts, docs.select(text))
     parts = docs.sparkSession.sparkContext.broadcast((model, fitted.weights, fitted.coefficients.tolist()))
     docs = docs.drop(column)
     schema = T.StructType(docs.schema.fields + [T.StructField(column, T.DoubleType())])

@@ -30,16 +30,18 @@ def test_words_of_spaced_letters_come_from_all_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i >= 7)) for i in range(5, 27)], "doc_id long, toxic int")  # no label where the words are
     fitted = T.fit(docs, labels)
-    own = fitted.restorer.model.within(fitted.counts, docs.select("text"))
+    own = fitted.restorer.model
     assert {"quiet", "harbour"} <= set(own.words) and "vile" not in own.words
     assert T.Restorer(own).text("q u i e t h a r b o u r") == "quiet harbour"
+    other = spark.createDataFrame([("v i l e m u d",)], "text string")
+    assert T.Restorer(own.within(fitted.texts, other)).text("v i l e m u d") == "vile mud"
 
 
 def test_words_within_runs_segment_like_all_words(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("text")
     docs = docs.unionByName(spark.createDataFrame([("you a i d i o t now",), ("t h e t r a s h, a",), (None,)], "text string"))
     model = T.LanguageModel.fit(docs)
-    some = model.within(T.word_counts(docs), docs)
+    some = model.within(docs, docs)
     model.learn(docs)
     assert 0 < len(some.words) < len(model.words)
     assert all(model.words[w] == p for w, p in some.words.items())
