@@ -125,18 +125,14 @@ def word_counts(texts: DataFrame, inside: DataFrame | None = None) -> tuple[Data
 
     def count(batches):
         bare = Memory(lambda word: w if (w := word.strip(EDGE)).isalpha() else "")
-        asked = Memory(lambda word: word if kept is None or grams(word) <= kept.value else "")
-        total = 0
+        lie, total = kept and kept.value, 0
 
         def words(text: str) -> set[str]:
             nonlocal total
             found = set(map(bare.__getitem__, SPACED.sub(" ", text.lower()).split()))
             found.discard("")
             total += len(found)
-            if kept is not None:
-                found = set(map(asked.__getitem__, found))
-                found.discard("")
-            return found
+            return found if lie is None else {w for w in found if w[:GRAM] in lie and w[-GRAM:] in lie and grams(w) <= lie}
 
         yield from tally(batches, words)
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([total], pa.int64())], names=["item", "n"])
