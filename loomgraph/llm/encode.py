@@ -42,7 +42,7 @@ def pack(ids: list[int]) -> bytes:
 STABLE = "\u0250"
 #: The pattern by which the word-end tokenizer cuts.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-GROUP_CHARS, CALL_CHUNKS = 1 << 21, 4000
+GROUP_CHARS, CALL_CHUNKS = 1 << 21, 1000
 WORD_END = "</w>"
 
 
@@ -51,6 +51,8 @@ class Encoder:
 
     Chunks not remembered are encoded many at a time, as one string: its ids fall to the
     chunks by the tokens' lengths in bytes, which must add up to the chunk's at its end.
+    For the word-end tokenizer that string is put into lower case here and needs none of
+    its normalizer, as the chunks' letters are stable and single spaces part them.
     """
 
     def __init__(self, path: str, room: int = ROOM):
@@ -66,6 +68,7 @@ class Encoder:
         if not (self.keeps_space or drops_space):
             raise ValueError(f"{path}: neither of the two kinds whose cuts are known")
         self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall if self.keeps_space else re.compile(r"[^ \n]+").findall
+        self.plain = self.tokenizer if self.keeps_space else Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level letters: one a byte
@@ -79,7 +82,7 @@ class Encoder:
         """The chunk may stand in a string of chunks: it begins where the tokenizer surely cuts, and its bytes are known."""
         if self.keeps_space:
             return chunk[0] in " \n" and not chunk.isspace()
-        return max(chunk) < STABLE and not OTHER_SPACE.search(chunk)
+        return (chunk.isascii() and chunk.isprintable()) or (max(chunk) < STABLE and not OTHER_SPACE.search(chunk))
 
     def _learn(self, chunks: list[str]) -> None:
         """Adds the ids of chunks that are not remembered."""
@@ -88,9 +91,10 @@ class Encoder:
             self.new[c] = self.whole(c)
         for k in range(0, len(joined), CALL_CHUNKS):
             some = joined[k : k + CALL_CHUNKS]
-            ids = np.array(self.tokenizer.encode_batch_fast([("" if self.keeps_space else " ").join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            stands = some if self.keeps_space else [c.lower() for c in some]
-            ends = np.cumsum([len(c.encode()) for c in stands])
+            text = "".join(some) if self.keeps_space else " ".join(some).lower()
+            stands = some if self.keeps_space else text.split(" ")
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in stands])
             at = np.cumsum(self.bytes_of[ids])
             stop = np.searchsorted(at, ends) + 1
             if len(at) < stop[-1] or (at[stop - 1] != ends).any():  # tokens that do not end where chunks do: one by one
