@@ -3,12 +3,15 @@
 A text is cut only where the tokenizer itself always cuts, so the joined ids equal those
 of one encode() call over the whole text:
 
-* byte-level BPE: between a non-space character and a following space or newline. Texts
-  with any other white space (where such a place may lie inside a run) are encoded whole.
+* byte-level BPE: between a non-space character and a following space or newline, and
+  between an ASCII letter and a following ASCII sign or digit. Texts with any other white
+  space (where such a place may lie inside a run) are encoded whole.
 * word-end BPE, which drops white space: at every space and newline.
 
 Texts that hold a special token's string are encoded whole, as the library treats it.
-The memory has two generations of about half the room each: chunks asked again stay.
+Chunks are cut, counted and looked up as Arrow strings, many texts at a time; only those
+that are not remembered become Python objects. The memory has two generations of about
+half the room each: chunks asked again stay.
 """
 
 from __future__ import annotations
@@ -22,7 +25,10 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from loomgraph.llm.columns import string_buffers
 from loomgraph.llm.workers import remembers
 
 #: White space for which the library's pattern and ours could differ on where a run ends.
@@ -42,7 +48,11 @@ def pack(ids: list[int]) -> bytes:
 STABLE = "\u0250"
 #: The pattern by which the word-end tokenizer cuts.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-GROUP_CHARS, CALL_CHUNKS = 1 << 21, 1000
+GROUP_CHARS, CALL_CHUNKS = 1 << 23, 1000
+SPACE, NEWLINE = b" \n"
+LETTER, SIGN = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+SIGN[[c for c in range(33, 127) if not chr(c).isalpha()]] = True
 WORD_END = "</w>"
 
 
@@ -67,13 +77,14 @@ class Encoder:
         drops_space = normal == LOWER and before["type"] == "Sequence" and before["pretokenizers"][0].get("pattern") == {"Regex": WORD_PATTERN}
         if not (self.keeps_space or drops_space):
             raise ValueError(f"{path}: neither of the two kinds whose cuts are known")
-        self.cut = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall if self.keeps_space else re.compile(r"[^ \n]+").findall
         self.plain = self.tokenizer if self.keeps_space else Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # byte-level letters: one a byte
             self.bytes_of[i] = len(token.removesuffix(WORD_END)) if drops_space else len(token)
-        self.half, self.new, self.old = room // 2, {}, {}
+        self.half = room // 2
+        self.known, self.ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)  # chunks; the ids of all
+        self.start, self.length, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def whole(self, text: str) -> bytes:
         return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -84,11 +95,35 @@ class Encoder:
             return chunk[0] in " \n" and not chunk.isspace()
         return (chunk.isascii() and chunk.isprintable()) or (max(chunk) < STABLE and not OTHER_SPACE.search(chunk))
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds the ids of chunks that are not remembered."""
-        joined = [c for c in chunks if self._joins(c)]
-        for c in set(chunks).difference(joined):
-            self.new[c] = self.whole(c)
+    def _cut(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of a column, and for each text, and the end, the number of its first chunk."""
+        data, offsets = string_buffers(column)
+        data = data[: offsets[-1]]
+        space = (data == SPACE) | (data == NEWLINE)
+        begins = space.copy()
+        begins[1:] &= ~space[:-1]
+        if self.keeps_space:
+            begins[1:] |= SIGN[data[1:]] & LETTER[data[:-1]]
+        else:
+            data = np.where(space, np.uint8(SPACE), data)
+        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
+        at = np.append(np.flatnonzero(begins), len(data))
+        return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data)), np.searchsorted(at, offsets)
+
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each chunk has, the chunks' numbers in that order)."""
+        if not self.keeps_space:
+            chunks = [c.lstrip(" ") for c in chunks]
+        joins = np.array([c != "" and self._joins(c) for c in chunks], bool)
+        order = np.argsort(~joins, kind="stable")
+        joined, apart = [chunks[i] for i in np.flatnonzero(joins)], [chunks[i] for i in np.flatnonzero(~joins)]
+        codes, lengths = [], []
+
+        def singly(some: list[str]) -> None:
+            own = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            codes.extend(np.array(c, np.uint32) for c in own)
+            lengths.append(np.array([len(c) for c in own], np.int64))
+
         for k in range(0, len(joined), CALL_CHUNKS):
             some = joined[k : k + CALL_CHUNKS]
             text = "".join(some) if self.keeps_space else " ".join(some).lower()
@@ -97,26 +132,49 @@ class Encoder:
             ends = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in stands])
             at = np.cumsum(self.bytes_of[ids])
             stop = np.searchsorted(at, ends) + 1
-            if len(at) < stop[-1] or (at[stop - 1] != ends).any():  # tokens that do not end where chunks do: one by one
-                self.new.update((c, self.whole(c)) for c in some)
-                continue
-            raw = ids.tobytes()
-            start = np.concatenate([[0], stop[:-1]])
-            for c, x, y in zip(some, (4 * start).tolist(), (4 * stop).tolist()):
-                self.new[c] = raw[x:y]
+            if len(stop) != len(some) or stop[-1] != len(ids) or (at[stop - 1] != ends).any():  # tokens that do not end where chunks do
+                singly(some)
+            else:
+                codes.append(ids)
+                lengths.append(np.diff(stop, prepend=0))
+        singly(apart)
+        return np.concatenate([np.zeros(0, np.uint32), *codes]), np.concatenate(lengths), order
+
+    def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these places, joined, and where each place's begin and the last's end."""
+        n = self.length[slots]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(self.start[slots] - ends[:-1], n)
+        at += np.arange(ends[-1])
+        return self.ids[at], ends
+
+    def _slots(self, distinct: pa.Array) -> np.ndarray:
+        """Places of chunks in the memory, those learned now included."""
+        if np.count_nonzero(self.asked) > self.half:  # a generation ends: what was not asked in it goes
+            keep = np.flatnonzero(self.asked)
+            self.ids, ends = self._gather(keep)
+            self.known, self.start, self.length = self.known.take(pa.array(keep)), ends[:-1], self.length[keep]
+            self.asked = np.zeros(len(keep), bool)
+        slots = pc.index_in(distinct, value_set=self.known).fill_null(-1).to_numpy().astype(np.int64)
+        lacking = np.flatnonzero(slots < 0)
+        if len(lacking):
+            ids, lengths, order = self._learn(distinct.take(pa.array(lacking)).to_pylist())
+            lacking = lacking[order]
+            slots[lacking] = len(self.known) + np.arange(len(lacking))
+            self.known = pa.concat_arrays([self.known, distinct.take(pa.array(lacking))])
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(lengths) - lengths])
+            self.ids, self.length = np.concatenate([self.ids, ids]), np.concatenate([self.length, lengths])
+            self.asked = np.concatenate([self.asked, np.zeros(len(lacking), bool)])
+        self.asked[slots] = True
+        return slots
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut = [None if any(s in t for s in self.special) or (self.keeps_space and OTHER_SPACE.search(t)) else self.cut(t) for t in texts]
-        if len(self.new) > self.half:
-            self.old, self.new = self.new, {}
-        lacking = set().union(*filter(None, cut)).difference(self.new)
-        if self.old:
-            again = lacking & self.old.keys()
-            self.new.update((c, self.old[c]) for c in again)
-            lacking -= again
-        self._learn(list(lacking))
-        known = self.new.__getitem__
-        return [self.whole(t) if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut)]
+        whole = [any(s in t for s in self.special) or (self.keeps_space and bool(OTHER_SPACE.search(t))) for t in texts]
+        chunks, first = self._cut(pa.array(["" if w else t for t, w in zip(texts, whole)], pa.large_string()))
+        counted = chunks.dictionary_encode()
+        ids, ends = self._gather(self._slots(counted.dictionary)[counted.indices.to_numpy()])
+        at = ends[first].tolist()
+        return [self.whole(t) if w else ids[x:y].tobytes() for t, w, x, y in zip(texts, whole, at, at[1:])]
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         group, size = [], 0
