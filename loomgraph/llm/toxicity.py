@@ -10,7 +10,9 @@ The restored words are scored by words and word beginnings that separate toxic f
 labelled texts (log-likelihood ratio), summed into a few numbers for a logistic model.
 Fitted on every labelled row outside the held-out fold; the language model and the counts
 of words cover all texts. Of the counted words only those that lie in spaced letters of the
-texts at hand are sent to workers, as no others are asked for.
+texts at hand are sent to workers, as no others are asked for. Texts are taken in groups
+(words.py); plain words whose first letters begin no chosen feature weigh nothing and are
+not looked up.
 
 Defined results: null text counts as empty, empty texts get the score of a text without
 findings; null keys are kept; repeated rows each give a row; without usable labels, or
@@ -28,6 +30,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +38,7 @@ from loomgraph.llm.columns import slabs, string_buffers
 from loomgraph.llm.idfilter import bitmap
 from loomgraph.llm.labelled import labelled_sample, remainder
 from loomgraph.llm.texthash import FOLD
+from loomgraph.llm.words import Beginnings, Words, groups, once, strings
 from loomgraph.llm.workers import mapped
 from loomgraph.scratch import materialize
 
@@ -49,6 +53,7 @@ EDGE = ".,;:!?\"'()[]{}<>*-_~#%&/\\|+=`^·…“”‘’«»"
 SUBSTITUTE, DROP, SHORTEN, SAME = -1.5, -1.0, -0.5, 0.0
 SUSPICIOUS = re.compile(r"(.)\1\1|[^\W\d_](?:[^\w\s]|_)+[^\W\d_]|[\d@$!|+(<€£¥]")
 SPACED = re.compile(r"(?<!\S)(?:[^\W_] +){2,}[^\W_](?=[.,;:!?]*(?!\S))")
+SOON = re.compile(r" [^\W_] +[^\W_](?=[.,;:!?]*(?!\S))")  # in every match of SPACED
 UNKNOWN = -8.0  # natural logarithm of the share of words that are not known
 SYMBOLS = 156  # 0: the edge of a word, 1-26: a-z, 27-155: bytes of other letters
 BYTE_SYMBOL = np.array([b - 96 if 97 <= b <= 122 else 27 + b - 128 if b >= 128 else 0 for b in range(256)], np.int64)[FOLD]
@@ -71,19 +76,31 @@ class Memory(dict):
         return out
 
 
-def tally(batches: Iterable[pa.RecordBatch], items: Callable[[str], set[str]]) -> Iterator[pa.RecordBatch]:
-    """(item, n): the number of texts with each item; an item may come more than once, to be summed."""
+def spaced_to(made: Callable[[re.Match], str] | str, text: str) -> str:
+    """The text in lower case with spaced letters replaced."""
+    text = text.lower()
+    return SPACED.sub(made, text) if SOON.search(text) else text
+
+
+def spaced(text: str) -> list[str]:
+    """Spaced letters of a text, in lower case."""
+    text = text.lower()
+    return SPACED.findall(text) if SOON.search(text) else []
+
+
+def tally(batches: Iterable[pa.RecordBatch], items: Callable[[str], set[str]] | None = None, of: Callable[[list[str]], dict[str, int]] | None = None) -> Iterator[pa.RecordBatch]:
+    """(item, n): the number of texts with each item; an item may come more than once, to be summed. of: counts of a group of texts, instead of items of each."""
     total: Counter = Counter()
 
     def made() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.string()), pa.array(total.values(), pa.int64())], names=["item", "n"])
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            total.update(items(text or ""))
-            if len(total) >= FULL:
-                yield made()
-                total.clear()
+    texts = (text or "" for b in batches for text in b.column(0).to_pylist())
+    for found in map(of, groups(texts)) if of else map(items, texts):
+        total.update(found)
+        if len(total) >= FULL:
+            yield made()
+            total.clear()
     if total:
         yield made()
 
@@ -127,14 +144,14 @@ def word_counts(texts: DataFrame, inside: DataFrame | None = None) -> tuple[Data
         bare = Memory(lambda word: w if (w := word.strip(EDGE)).isalpha() else "")
         lie, total = kept and kept.value, 0
 
-        def words(text: str) -> set[str]:
+        def words(texts: list[str]) -> dict[str, int]:
             nonlocal total
-            found = set(map(bare.__getitem__, SPACED.sub(" ", text.lower()).split()))
-            found.discard("")
-            total += len(found)
-            return found if lie is None else {w for w in found if w[:GRAM] in lie and w[-GRAM:] in lie and grams(w) <= lie}
+            found, _, which = Words([spaced_to(" ", t) for t in texts]).pairs(bare.__getitem__)
+            total += len(which)
+            n = np.bincount(which, minlength=len(found)).tolist()
+            return {w: k for w, k in zip(found.to_pylist(), n) if lie is None or w[:GRAM] in lie and w[-GRAM:] in lie and grams(w) <= lie}
 
-        yield from tally(batches, words)
+        yield from tally(batches, of=words)
         yield pa.RecordBatch.from_arrays([pa.array([""], pa.string()), pa.array([total], pa.int64())], names=["item", "n"])
 
     counts = materialize(texts.transform(mapped, count, "item string, n long").groupBy("item").agg(F.sum("n").alias("n")).where("n >= 3 or item = ''"), "words")
@@ -193,7 +210,7 @@ class LanguageModel:
 
         def joined(batches):
             word = Restorer(sent.value).word
-            yield from distinct((word(run.replace(" ", "")) for b in batches for t in b.column(0).to_pylist() for run in SPACED.findall((t or "").lower())), "run")
+            yield from distinct((word(run.replace(" ", "")) for b in batches for t in b.column(0).to_pylist() for run in spaced(t or "")), "run")
 
         runs = materialize(asked.transform(mapped, joined, "run string").distinct(), "runs")
         counts, total = word_counts(texts, runs)
@@ -293,17 +310,18 @@ class Restorer:
             return bare
         return restore(inner, self.model)
 
+    def unspaced(self, text: str) -> str:
+        return spaced_to(lambda m: segment(self.word(m[0].replace(" ", "")), self.model), text)
+
     def words(self, text: str) -> list[str]:
-        text = text.lower()
-        if SPACED.search(text):
-            text = SPACED.sub(lambda m: segment(self.word(m[0].replace(" ", "")), self.model), text)
-        return text.split()
+        return self.unspaced(text).split()
 
     def text(self, text: str) -> str:
         return " ".join(map(self.word, self.words(text)))
 
 
 def features(word: str) -> list[str]:
+    """See also feature_counts()."""
     return ["=" + word] + [word[:k] for k in BEGINNINGS if len(word) > k] if word else []
 
 
@@ -313,6 +331,7 @@ class Score:
     def __init__(self, restorer: Restorer, weights: dict[str, float], coefficients: list[float], texts: DataFrame | None = None):
         self.restorer, self.weights, self.coefficients, self.texts = restorer, weights, np.array(coefficients), texts
         self.known = Memory(self.weight)
+        self.begin = Beginnings([f for f in weights if f[0] != "="], [f[1:] for f in weights if f[0] == "="])
 
     def weight(self, word: str) -> float:
         most, weights = 0.0, self.weights
@@ -322,13 +341,26 @@ class Score:
         return most
 
     def numbers(self, text: str) -> list[float]:
-        words = self.restorer.words(text)
-        found = [w for w in map(self.known.__getitem__, words) if w]
-        n = len(found)
-        return [1.0, math.log1p(sum(found)), math.log1p(n), float(n > 1), min(1.0, 20 * n / max(len(words), 20)), max(found, default=0.0)]
+        return next(self.all_numbers([text]))
+
+    def all_numbers(self, texts: Iterable[str | None]) -> Iterator[list[float]]:
+        for group in groups(texts):
+            w = Words([self.restorer.unspaced(t) for t in group])
+            at = np.flatnonzero(self.begin.may(w))
+            coded = strings(w.data, w.start[at], w.end[at]).dictionary_encode()
+            weight = np.array([self.known[word] for word in coded.dictionary.to_pylist()], float)[coded.indices.to_numpy()]
+            some = weight != 0
+            places, weight = np.searchsorted(at[some], w.bounds).tolist(), weight[some].tolist()
+            for size, i, j in zip(np.diff(w.bounds).tolist(), places, places[1:]):
+                found, n = weight[i:j], j - i
+                yield [1.0, math.log1p(sum(found)), math.log1p(n), float(n > 1), min(1.0, 20 * n / max(size, 20)), max(found, default=0.0)]
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(np.dot(self.coefficients, self.numbers(text)), -35, 35))))
+        return next(self.scores([text]))
+
+    def scores(self, texts: Iterable[str | None]) -> Iterator[float]:
+        for numbers in self.all_numbers(texts):
+            yield float(1 / (1 + np.exp(-np.clip(np.dot(self.coefficients, numbers), -35, 35))))
 
 
 def slopes(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -380,6 +412,21 @@ def _place(column: str, bits: int) -> F.Column:
     return F.crc32(F.col(column).cast("binary")).bitwiseAND((1 << bits) - 1)
 
 
+def feature_counts(texts: list[str], restorer: Restorer, clean: Callable[[str], str]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """(features, numbers of the texts that have them): features() of all restored words; clean: restorer.word or a memory of it."""
+    words, text, which = Words([restorer.unspaced(t) for t in texts]).pairs(clean)
+    yield ["=" + w for w in words.to_pylist()], np.bincount(which, minlength=len(words))
+    size = pc.utf8_length(words).to_numpy()
+    for k in BEGINNINGS:
+        longer = size > k
+        coded = pc.utf8_slice_codeunits(words.filter(pa.array(longer)), 0, k).dictionary_encode()
+        number = np.zeros(len(words), np.int64)
+        number[longer] = coded.indices.to_numpy()
+        kept = longer[which]
+        _, found = once(text[kept], number[which[kept]], len(coded.dictionary))
+        yield coded.dictionary.to_pylist(), np.bincount(found, minlength=len(coded.dictionary))
+
+
 def count_features(rows: DataFrame, model, n_pos: int, n_neg: int) -> tuple[DataFrame, int]:
     """((f, a, b): toxic and other rows with each feature, how many have a >= 3); model: broadcast.
 
@@ -394,12 +441,13 @@ def count_features(rows: DataFrame, model, n_pos: int, n_neg: int) -> tuple[Data
             r, mask, crc32 = Restorer(model.value), (1 << bits) - 1, zlib.crc32
             marks = table and memoryview(table.value).cast("B")  # bytes of little-endian words
 
-            def chosen(word: str) -> list[str]:
-                made = features(r.word(word))
-                return made if marks is None else [f for f in made if marks[(at := crc32(f.encode()) & mask) >> 3] >> (at & 7) & 1]
+            clean = Memory(r.word).__getitem__
+
+            def chosen(texts: list[str]) -> dict[str, int]:
+                made = {f: k for found, n in feature_counts(texts, r, clean) for f, k in zip(found, n.tolist())}
+                return made if marks is None else {f: k for f, k in made.items() if marks[(at := crc32(f.encode()) & mask) >> 3] >> (at & 7) & 1}
 
-            of = Memory(chosen)
-            yield from tally(batches, lambda text: set().union(*map(of.__getitem__, set(r.words(text)))))
+            yield from tally(batches, of=chosen)
 
         return rows.where(f"y = {y}").select("text").transform(mapped, count, "f string, n long").groupBy("f").agg(F.sum("n").alias(name))
 
@@ -429,7 +477,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2)
     def numbers(batches):
         s = Score(Restorer(sent.value), weights, [0] * 6)
         for b in batches:
-            rows_ = [s.numbers(t) for t in b.column(0).to_pylist()]
+            rows_ = list(s.all_numbers(b.column(0).to_pylist()))
             yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
     table = materialize(rows.transform(mapped, numbers, "x array<double>, y int"), "numbers")
@@ -461,7 +509,7 @@ def score(docs: DataFrame, fitted: Score, text: str = "text", column: str = "tox
         model, weights, coefficients = parts.value
         s = Score(Restorer(model), weights, coefficients)
         for b in batches:
-            scores = pa.array([s.score(t or "") for t in b.column(text).to_pylist()], pa.float64())
+            scores = pa.array(s.scores(b.column(text).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*b.schema.names, column])
 
     return docs.transform(mapped, run, schema)
