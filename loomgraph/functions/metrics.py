@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -37,20 +38,29 @@ def _harmonic(p: Column, r: Column) -> Column:
 
 def token_f1(pred: str, gold: str) -> Column:
     """Distinct common tokens over token counts (with repeats) of either side."""
-    p, g = segments(pred), segments(gold)
-    common = F.size(F.array_intersect(p, g)).cast("double")
-    return F.when(F.size(g) == 0, 0.0).otherwise(
-        _harmonic(F.when(F.size(p) > 0, common / F.greatest(F.size(p), F.lit(1))).otherwise(0.0), common / F.greatest(F.size(g), F.lit(1)))
-    )
+    # a list of one: its element is cut into tokens once, and every use below is of the result
+    sides = F.array(F.struct(segments(pred).alias("p"), segments(gold).alias("g")))
+    counts = F.transform(sides, lambda s: F.struct(F.size(F.array_intersect(s["p"], s["g"])).cast("double").alias("common"), F.size(s["p"]).alias("p"), F.size(s["g"]).alias("g")))
 
+    def score(s: Column) -> Column:
+        common, p, g = s["common"], s["p"], s["g"]
+        shared = _harmonic(F.when(p > 0, common / F.greatest(p, F.lit(1))).otherwise(0.0), common / F.greatest(g, F.lit(1)))
+        return F.when(g == 0, 0.0).otherwise(shared)
 
-def _rouge_tokens(c: Column | str) -> Column:
-    return F.regexp_extract_all(_norm(c), F.lit("([a-z0-9]+)"), 1)
+    return F.transform(counts, score)[0]
 
 
-def _stems(words, stemming: bool) -> list[str]:
-    """Tokens of more than three letters by their stems."""
-    return [stem(w) if len(w) > 3 else w for w in words] if stemming else list(words)
+def _rouge_tokens(text: str, stemming: bool) -> list[str]:
+    """Tokens of a normal text, those of more than three letters by their stems where wanted."""
+    words = re.findall("[a-z0-9]+", text)
+    return [stem(w) if len(w) > 3 else w for w in words] if stemming else words
+
+
+def _small_batches() -> None:
+    """Rows reach Python 500 at a time where the session has Spark's default, as texts may be long."""
+    conf = SparkSession.active().conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def rouge_n(pred: str, gold: str, n: int, stemming: bool = False) -> Column:
@@ -61,12 +71,13 @@ def rouge_n(pred: str, gold: str, n: int, stemming: bool = False) -> Column:
     def measure(p: pd.Series, g: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(p, g):
-            x, y = grams(_stems(a, stemming)), grams(_stems(b, stemming))
+            x, y = grams(_rouge_tokens(a, stemming)), grams(_rouge_tokens(b, stemming))
             common = (x & y).total()
             out.append(2 * common / (x.total() + y.total()) if common else 0.0)
         return pd.Series(out)
 
-    return measure(_rouge_tokens(pred), _rouge_tokens(gold))
+    _small_batches()
+    return measure(_norm(pred), _norm(gold))
 
 
 def lcs(a: list[str], b: list[str]) -> int:
@@ -89,9 +100,10 @@ def rouge_l(pred: str, gold: str, stemming: bool = False) -> Column:
     def measure(p: pd.Series, g: pd.Series) -> pd.Series:
         out = []
         for a, b in zip(p, g):
-            a, b = _stems(a, stemming), _stems(b, stemming)
+            a, b = _rouge_tokens(a, stemming), _rouge_tokens(b, stemming)
             n = lcs(a, b) if a and b else 0
             out.append(2 * n / (len(a) + len(b)) if n else 0.0)
         return pd.Series(out)
 
-    return measure(_rouge_tokens(pred), _rouge_tokens(gold))
+    _small_batches()
+    return measure(_norm(pred), _norm(gold))

@@ -20,7 +20,7 @@ FORMULA_LABELS = [
 
 def strip(c: Column | str) -> Column:
     """Trims every kind of white space, not spaces alone."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def tokens(c: Column | str) -> Column:
