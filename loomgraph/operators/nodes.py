@@ -52,10 +52,11 @@ def image_nodes(blocks: DataFrame) -> DataFrame:
 
 def formula_nodes(blocks: DataFrame) -> DataFrame:
     """Formulas with the nearest text block before and after as context."""
-    w = Window.partitionBy("doc_name").orderBy("pos")
+    forth = Window.partitionBy("doc_name").orderBy("pos", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("doc_name").orderBy(F.desc("pos"), F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     text = F.when(F.col("type") == "text", F.col("text"))
-    before = F.last(text, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first(text, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    before = F.last(text, True).over(forth)
+    after = F.last(text, True).over(back)  # a frame that grows is kept up row by row; one that shrinks is read anew for each row
     # the windows see all blocks, so the type filter comes after them
     framed = blocks.withColumns({"context": F.concat_ws("\n", before, after), "doc_id": node_id("Document", "doc_name")})
     return framed.where("type = 'equation'").select(node_id("Formula", "text").alias("id"), "doc_id", F.col("text").alias("content"), "context", "seq")
