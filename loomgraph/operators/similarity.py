@@ -15,6 +15,8 @@ from loomgraph.scratch import materialize
 BLOCK = 2048
 #: Pivots, each the centre of a cell; at most so many vectors are sent to the workers.
 PIVOTS = 256
+#: Numbers of a batch that a worker deals out: vectors of one length, and the cells they visit.
+PLACED = 1 << 20
 #: Room for rounding in the angle bound.
 SLACK = 1e-6
 DEALT = "dim int, cell int, home boolean, id {kind}, v array<double>"
@@ -34,6 +36,11 @@ def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[ok] / norm[ok][:, None], ok
 
 
+def _parts(rows: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    most = max(1, most)
+    return (rows[i : i + most] for i in range(0, len(rows), most))
+
+
 def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
 
@@ -65,8 +72,7 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector:
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             dims = np.diff(b.column(1).offsets.to_numpy())
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
+            for dim, at in ((dim, at) for dim in np.unique(dims).tolist() for at in _parts(np.flatnonzero(dims == dim), PLACED // (dim + PIVOTS))):
                 x, ok = _unit(_matrix(b.column(1).take(pa.array(at)), dim))
                 at = at[ok]
                 if not len(at):
@@ -80,12 +86,13 @@ def cosine_pairs(vectors: DataFrame, threshold: float, key: str = "id", vector:
                     home = cell == own[row]
                 else:
                     row, cell, home = np.arange(len(at)), np.zeros(len(at), np.int64), np.ones(len(at), bool)
-                flat = pa.array(x[row].reshape(-1))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(row) + 1, dtype=np.int32) * np.int32(dim)), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home), b.column(0).take(pa.array(at[row])), lists],
-                    names=["dim", "cell", "home", "id", "v"],
-                )
+                for part in _parts(np.arange(len(row)), PLACED // dim):
+                    r = row[part]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1, dtype=np.int32) * np.int32(dim)), pa.array(x[r].reshape(-1)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(r), dim, np.int32)), pa.array(cell[part].astype(np.int32)), pa.array(home[part]), b.column(0).take(pa.array(at[r])), lists],
+                        names=["dim", "cell", "home", "id", "v"],
+                    )
 
     dealt = materialize(v.mapInArrow(place, DEALT.format(kind=kind)), "cells")
     counts = dealt.groupBy("dim", "cell").agg(
@@ -124,6 +131,22 @@ def similarity_classes(vectors: DataFrame, threshold: float, key: str = "id", ve
     return ids.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def _without_copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to compare, ids that go at once) of (id, v): of equal vectors the smallest id alone is compared.
+
+    A larger id with the same vector always goes: by the smallest, or by what made that one
+    go. Copies so make no pairs, whose number is the square of theirs. Vectors without a
+    direction, and ids of several rows, are left as they are.
+    """
+    rows = materialize(rows, "vectors")
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    plain = (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()) & (square > 0) & (square < float("inf")) & ~F.isnan(square)
+    once = rows.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.first("v").alias("v")).where((F.col("n") == 1) & F.col("v").isNotNull() & plain)
+    first = once.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    copies = materialize(once.join(first.select("v", "least"), "v").where("id > least").select("id"), "copies")
+    return rows.join(copies, "id", "left_anti"), copies
+
+
 def greedy_dedup(vectors: DataFrame, threshold: float, key: str = "id", vector: str = "vector", enabled: bool = True, max_rounds: int | None = None) -> DataFrame:
     """Ids kept when rows pass in id order and each goes if near one kept before.
 
@@ -135,8 +158,11 @@ def greedy_dedup(vectors: DataFrame, threshold: float, key: str = "id", vector:
     ids = vectors.select(F.col(key).alias("id")).distinct()
     if not enabled:
         return ids
-    pairs = materialize(cosine_pairs(vectors, threshold, key, vector).select("a", "b"), "pairs")
+    own = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     gone = None
+    if threshold <= 1 - SLACK:
+        own, gone = _without_copies(own)
+    pairs = materialize(cosine_pairs(own, threshold, "id", "v").select("a", "b"), "pairs")
     rounds = 0
     while not pairs.isEmpty():
         if rounds == max_rounds:
