@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import metrics as M
-from loomgraph.functions.ids import hash_order, node_id
+from loomgraph.functions.ids import hash_order, node_id, packed, unpacked
 from loomgraph.functions.text import FORMULA_LABELS, IMAGE_LABELS, TABLE_LABELS
 from loomgraph.operators import edges as E
 from loomgraph.operators import export, judge, models, qa, sampling, traces
@@ -114,12 +114,14 @@ def traced(nodes: DataFrame, edges: DataFrame, config: Config = Config()) -> Dat
     """
     spark = nodes.sparkSession
     tasks = traces.task_info(spark)
+    edges = G.stored(edges)
     sample = materialize(sampling.samples(nodes, edges, config.sampler, config.subgraphs, config.order, config.seed), "samples")
     out = None
     for k in range(config.subgraphs):
         seed = f"{config.seed}/{k}"
         inside = materialize(nodes.join(sample.where(F.col("subgraph_id") == k).select("id"), "id", "left_semi").select("id", "type"), "inside")
-        sub = materialize(G.induced_subgraph(edges.select("head", "tail"), inside).distinct(), "subgraph")
+        sub = G.induced_subgraph(edges, G.few(inside.select("id").distinct()).select(packed("id").alias("id"))).distinct()
+        sub = materialize(sub.select(unpacked("head").alias("head"), unpacked("tail").alias("tail")), "subgraph")
         starts = materialize(traces.start_candidates(sub, inside, tasks, seed), "starts")
         near = traces.companions(starts, sub, inside, tasks, seed).groupBy("task", "start").agg(F.array_sort(F.collect_list("id")).alias("companions"))  # as many as the task requires
         for most in sorted({t[-1] for t in traces.TASKS}):
